@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,5 +54,18 @@ def spread(df: DataFrame, per_task_bytes: int = 4 << 20) -> DataFrame:
     return df if have >= cores else df.repartition(cores)
 
 
-def is_dir(path: str) -> bool:
-    return os.path.isdir(path)
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once per Spark context)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vellum_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="vellum-code-"), "vellum_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("vellum", os.path.relpath(full, here)))
+    sc.addPyFile(archive)
+    sc._vellum_shipped = True

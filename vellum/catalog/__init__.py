@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from vellum.catalog import cleaning, incremental
+from vellum.catalog import cleaning, incremental, search
 
-_PARTS = (cleaning, incremental)
+_PARTS = (cleaning, incremental, search)
 
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

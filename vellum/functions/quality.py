@@ -105,7 +105,7 @@ def score_quality(c: Column, confidence: Column | None = None, min_chars: Column
     symbol = _share(t, SYMBOL_CLASS.replace("[|", "[^|", 1))
     line = F.aggregate(full, F.lit(0).cast("bigint"), lambda a, l: a + F.length(l)) / F.greatest(F.size(full), F.lit(1))
     empty = (F.size(ls) - F.size(full)) / F.size(ls)
-    repeated = t.rlike(r"(.)\1{7,}")
+    repeated = t.rlike(r"(?d)(.)\1{7,}")
     diacritics = diacritic_ratio(t)
     base = (
         WEIGHTS["alnum"] * alnum

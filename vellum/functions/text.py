@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed, and stands in the plan, once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")

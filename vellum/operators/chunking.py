@@ -71,7 +71,11 @@ def heading_path(hs: Column, i: Column, level: int) -> Column:
 
 def parents_h123(parents: Column) -> list[Column]:
     """first text of each of the levels 1 to 3."""
-    return [F.get(F.filter(parents, lambda p, n=n: p["level"] == n), F.lit(0))["text"].alias(f"h{n}") for n in (1, 2, 3)]
+
+    def first(n: int) -> Column:
+        return F.get(F.filter(parents, lambda p: p["level"] == n), F.lit(0))["text"].alias(f"h{n}")
+
+    return [first(n) for n in (1, 2, 3)]
 
 
 def is_appendix(title: Column) -> Column:

@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from vellum.runtime import cut
+
 #: Languages and the codes that give them (fixed values).
 LANGUAGES = ("pt", "en", "es", "fr", "de")
 CODES = {
@@ -42,6 +44,7 @@ _DECLARED = re.compile(r"(?i)\blang(?:uage)?\s*[=:]\s*[\"']?([a-z]{2,3})\b")
 _ADDRESS = re.compile(r"(?i)\bhttps?://[^\s/<>()\"']+\.([a-z]{2,})\b")
 _CODE = re.compile(r"(?ms)^[ ]{0,3}(`{3,}|~{3,}).*?(?:^[ ]{0,3}\1[`~]*\s*$|\Z)|<(pre|script|style)\b.*?(?:</\2>|\Z)|\\begin\{verbatim\}.*?(?:\\end\{verbatim\}|\Z)")
 _MARK = re.compile(r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|\\[A-Za-z]+\*?|[*_`~#{}|\[\]]+")
+_PLAIN = re.compile(r"[<&\\*_`~#{}|\[\]\-‐\u00ad¬]")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\n\s*\n|\f")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­¬][ \t]*\n\s*(?=[^\W\d_])")
 
@@ -66,25 +69,45 @@ class Model:
         totals = [sum(counts[l].values()) + 0.5 * vocabulary for l in LANGUAGES]
         self.unseen = np.log(0.5 / np.array(totals))
         self.table = {g: np.log((np.array([counts[l][g] for l in LANGUAGES]) + 0.5) / np.array(totals)) for g in shared}
-        self.memo: dict[str, np.ndarray] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        #: Rows of known words in one growing matrix, so that a text is scored by one lookup.
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(LANGUAGES)))
 
     def __getstate__(self):
-        return {"unseen": self.unseen, "table": self.table, "memo": {}}
+        return {"unseen": self.unseen, "table": self.table}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._reset()
 
     @staticmethod
     def grams(word: str) -> list[str]:
         w = f" {word} "
         return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
 
-    def word(self, w: str) -> np.ndarray:
-        """Log likelihood per language, damped because overlapping n-grams are not independent."""
-        got = self.memo.get(w)
-        if got is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            got = sum((self.table.get(g, self.unseen) for g in self.grams(w)), np.zeros(len(LANGUAGES))) / 4
-            self.memo[w] = got = got - got.max()
-        return got
+    def _row(self, w: str) -> int:
+        """Log likelihoods per language, damped because overlapping n-grams are not independent."""
+        k = self.rows[w] = len(self.rows)
+        if k == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        s = sum((self.table.get(g, self.unseen) for g in self.grams(w)), np.zeros(len(LANGUAGES))) / 4
+        self.scores[k] = s - s.max()
+        return k
+
+    def score(self, sentences: list[list[str]]) -> np.ndarray:
+        """Log likelihoods of non-empty word lists, one row each."""
+        if len(self.rows) > 200_000:
+            self._reset()
+        rows, known = [], self.rows.get
+        for words in sentences:
+            for w in words:
+                k = known(w)
+                rows.append(self._row(w) if k is None else k)
+        starts = np.cumsum([0] + [len(x) for x in sentences[:-1]])
+        return np.add.reduceat(self.scores[rows], starts, axis=0)
 
 
 def fit(labelled: DataFrame, key: str, text: str, label: str, rows: int = FIT_ROWS) -> Model:
@@ -112,37 +135,44 @@ def sentences(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def decode(text: str, model: Model, prior: np.ndarray) -> list[tuple[int, int, str, float, int, int]]:
-    """Segments (start, end, language, confidence, words, prose words) of one text."""
-    rows = []
+def spell(text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences of a text: ``(start, end, words, prose words)`` rows and their log likelihoods."""
+    spans, words = [], []
     for part, start, end, prose in sentences(text):
-        words = [w for w in _WORD.findall(_MARK.sub(" ", _HYPHEN.sub("", part)).casefold()) if len(w) > 1]
-        if len(words) < 2:
-            continue
-        rows.append((start, end, sum(model.word(w) for w in words), len(words), prose))
-    if not rows:
+        if _PLAIN.search(part):
+            part = _MARK.sub(" ", _HYPHEN.sub("", part))
+        w = [x for x in _WORD.findall(part.casefold()) if len(x) > 1]
+        if len(w) >= 2:
+            spans.append((start, end, len(w), len(w) if prose else 0))
+            words.append(w)
+    if not spans:
+        return np.zeros((0, 4), np.int64), np.zeros((0, len(LANGUAGES)))
+    return np.array(spans, np.int64), model.score(words)
+
+
+def decode(spans: np.ndarray, scores: np.ndarray, prior: np.ndarray) -> list[tuple[int, int, str, float, int, int]]:
+    """Segments (start, end, language, confidence, words, prose words): the best sequence of
+    languages, each change costing ``SWITCH``, cut into runs."""
+    if not len(spans):
         return []
-    n = len(LANGUAGES)
-    best, back = prior + rows[0][2], []
-    for r in rows[1:]:
+    best = prior + scores[0]
+    back = np.zeros((len(scores), len(LANGUAGES)), np.int8)
+    keep = np.arange(len(LANGUAGES), dtype=np.int8)
+    for k in range(1, len(scores)):
         top = int(best.argmax())
-        switch = best[top] - SWITCH
-        stay = best >= switch
-        back.append(np.where(stay, np.arange(n), top))
-        best = np.where(stay, best, switch) + r[2]
-    path = [int(best.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    path.reverse()
-    out, k = [], 0
-    while k < len(rows):
-        e = k
-        while e + 1 < len(rows) and path[e + 1] == path[k]:
-            e += 1
-        score = sum(r[2] for r in rows[k : e + 1]) + prior
-        p = np.exp(score - score.max())
-        out.append((rows[k][0], rows[e][1], LANGUAGES[path[k]], float(p[path[k]] / p.sum()), sum(r[3] for r in rows[k : e + 1]), sum(r[3] for r in rows[k : e + 1] if r[4])))
-        k = e + 1
+        stay = best >= best[top] - SWITCH
+        back[k] = np.where(stay, keep, top)
+        best = np.where(stay, best, best[top] - SWITCH) + scores[k]
+    path = np.empty(len(scores), np.int8)
+    path[-1] = best.argmax()
+    for k in range(len(scores) - 1, 0, -1):
+        path[k - 1] = back[k][path[k]]
+    edges = np.flatnonzero(np.diff(path)) + 1
+    out = []
+    for a, e in zip([0, *edges], [*edges, len(path)]):
+        s = scores[a:e].sum(0) + prior
+        p = np.exp(s - s.max())
+        out.append((int(spans[a][0]), int(spans[e - 1][1]), LANGUAGES[path[a]], float(p[path[a]] / p.sum()), int(spans[a:e, 2].sum()), int(spans[a:e, 3].sum())))
     return out
 
 
@@ -185,35 +215,43 @@ def segments(docs: DataFrame, model: Model, key: str, text: str, path: str) -> D
     """``(key, seq, char_start, char_end, language, confidence, words, prose_words)``.
 
     One row per run of sentences in one language. Null, empty and wordless texts give no rows;
-    repeated rows are kept; other columns are ignored. Two passes over the texts: votes of whole
-    texts for the host priors, then the fused decoding.
+    repeated rows are kept; other columns are ignored. Texts are read once: sentence likelihoods are
+    kept in the shared folder, vote for the host priors, and are decoded again with them.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[key]
     h1, h2 = _hosts(F.col(path))
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), h1.alias("h1"), h2.alias("h2"))
+    v = [f"v{i}" for i in range(len(LANGUAGES))]
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for pdf in batches:
-            got = np.zeros((len(pdf), len(LANGUAGES)))
+            votes = np.zeros((len(pdf), len(LANGUAGES)))
+            spans, scores, known = [], [], []
             for i, t in enumerate(pdf["t"]):
-                for _, _, l, c, n, _ in decode(t, m, hints(t)):
-                    got[i, LANGUAGES.index(l)] += c * n
-            got /= np.maximum(got.sum(1, keepdims=True), 1e-9)
-            yield pd.DataFrame({"h1": pdf["h1"], "h2": pdf["h2"], **{f"v{i}": got[:, i] for i in range(len(LANGUAGES))}})
-
-    votes = rows.select("t", "h1", "h2").mapInPandas(vote, "h1 string, h2 string, " + ", ".join(f"v{i} double" for i in range(len(LANGUAGES))))
-    fused = rows.join(host_priors(votes), ["h1", "h2"]).select("k", "t", "prior")
+                s, x = spell(t, m)
+                h = hints(t)
+                for _, _, l, c, n, _ in decode(s, x, h):
+                    votes[i, LANGUAGES.index(l)] += c * n
+                spans.append(s.ravel())
+                scores.append(x.astype(np.float32).ravel())
+                known.append(h)
+            votes /= np.maximum(votes.sum(1, keepdims=True), 1e-9)
+            yield pd.DataFrame({"k": pdf["k"], "h1": pdf["h1"], "h2": pdf["h2"], "spans": spans, "scores": scores, "hints": known} | {c: votes[:, i] for i, c in enumerate(v)})
+
+    schema = f"k {kind}, h1 string, h2 string, spans array<bigint>, scores array<float>, hints array<double>, " + ", ".join(f"{c} double" for c in v)
+    read_once = cut(rows.mapInPandas(read, schema))
+    fused = read_once.where(F.size("spans") > 0).join(host_priors(read_once.select("h1", "h2", *v)), ["h1", "h2"]).select("k", "spans", "scores", "hints", "prior")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
         for pdf in batches:
             out = []
-            for k, t, p in zip(pdf["k"], pdf["t"], pdf["prior"]):
-                found = decode(t, m, hints(t) + np.log(np.maximum(np.asarray(p, float), 1e-6)))
-                out += [(k, i, *s) for i, s in enumerate(found)]
+            for k, s, x, h, p in zip(pdf["k"], pdf["spans"], pdf["scores"], pdf["hints"], pdf["prior"]):
+                prior = np.asarray(h) + np.log(np.maximum(np.asarray(p), 1e-6))
+                found = decode(np.asarray(s).reshape(-1, 4), np.asarray(x, np.float64).reshape(-1, len(LANGUAGES)), prior)
+                out += [(k, i, *f) for i, f in enumerate(found)]
             yield pd.DataFrame(out, columns=["k", "seq", "char_start", "char_end", "language", "confidence", "words", "prose_words"])
 
     out = fused.mapInPandas(work, f"k {kind}, seq int, char_start bigint, char_end bigint, language string, confidence double, words bigint, prose_words bigint")

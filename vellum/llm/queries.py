@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.llm import bpe, knn, language, leakage, markup, ocr_repair, rank_fusion, repetition, text_stats
-from vellum.runtime import ship, spread, table
+from vellum.runtime import cut, ship, spread, table
 
 MODES = ("dense", "fts", "sparse", "hybrid")
 
@@ -108,7 +108,7 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    passages = language.whole_passages(_segments(spark, d), "doc_id")
+    passages = cut(language.whole_passages(_segments(spark, d), "doc_id"))  # used twice
     parts = [language.wrong_labels(passages, table(spark, d, t).select("doc_id", "language"), "doc_id", "language").select(F.lit(t).alias("record"), "doc_id", "language") for t in ("documents_md", "manifest")]
     return parts[0].unionByName(parts[1]).distinct()
 

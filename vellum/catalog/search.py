@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from vellum.operators import search as S
@@ -88,9 +90,9 @@ def adaptive_rank_constant(spark: SparkSession, d: str) -> DataFrame:
     return t.unionByName(e).select("doc_id", S.rank_constant(F.col("q")).alias("constant"))
 
 
-def _filtered(f: Filters):
+def _filtered(make: Callable[[], Filters]):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _show(_fts(spark, d, f.build()))
+        return _show(_fts(spark, d, make().build()))
 
     return run
 
@@ -179,11 +181,11 @@ QUERIES = {
     "search_semantic_rrf": search_semantic_rrf,
     "search_weighted": search_weighted,
     "adaptive_rank_constant": adaptive_rank_constant,
-    "retrieve_filtered_eq": _filtered(Filters().eq("lang", "pt")),
-    "retrieve_filtered_in": _filtered(Filters().in_("doc_type", ["manual", "ata"])),
-    "retrieve_filtered_like": _filtered(Filters().like("source", "acervo/%47")),
-    "retrieve_filtered_range": _filtered(Filters().gte("n_chars", 500).lt("n_chars", 1000)),
-    "retrieve_filtered_raw": _filtered(Filters().raw("doc_type is not null and not (lang <=> 'pt')")),
+    "retrieve_filtered_eq": _filtered(lambda: Filters().eq("lang", "pt")),
+    "retrieve_filtered_in": _filtered(lambda: Filters().in_("doc_type", ["manual", "ata"])),
+    "retrieve_filtered_like": _filtered(lambda: Filters().like("source", "acervo/%47")),
+    "retrieve_filtered_range": _filtered(lambda: Filters().gte("n_chars", 500).lt("n_chars", 1000)),
+    "retrieve_filtered_raw": _filtered(lambda: Filters().raw("doc_type is not null and not (lang <=> 'pt')")),
     "retrieve_filtered_or": retrieve_filtered_or,
     "retrieve_diversified": retrieve_diversified,
     "retrieve_tags_postfilter": retrieve_tags_postfilter,

@@ -252,7 +252,8 @@ def segments(docs: DataFrame, model: Model, key: str, text: str, path: str) -> D
                 prior = np.asarray(h) + np.log(np.maximum(np.asarray(p), 1e-6))
                 found = decode(np.asarray(s).reshape(-1, 4), np.asarray(x, np.float64).reshape(-1, len(LANGUAGES)), prior)
                 out += [(k, i, *f) for i, f in enumerate(found)]
-            yield pd.DataFrame(out, columns=["k", "seq", "char_start", "char_end", "language", "confidence", "words", "prose_words"])
+            if out:
+                yield pd.DataFrame(out, columns=["k", "seq", "char_start", "char_end", "language", "confidence", "words", "prose_words"])
 
     out = fused.mapInPandas(work, f"k {kind}, seq int, char_start bigint, char_end bigint, language string, confidence double, words bigint, prose_words bigint")
     return out.withColumnRenamed("k", key)

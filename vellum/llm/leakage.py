@@ -166,7 +166,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
             for pdf in batches:
                 for t in pdf["t"]:
                     c.update({s for _, s in ix.shared(plain_words(t))})
-            yield pd.DataFrame({"s": [" ".join(s) for s in c], "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"s": [" ".join(s) for s in c], "n": list(c.values())})
 
         seen = corpus.select("t").mapInPandas(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
         index.order({r.s: r.n for r in seen.collect()})  # at most one row per shingle of the block
@@ -176,7 +177,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
             ix = ready.value
             for pdf in batches:
                 out = [(d, i, x) for d, t in zip(pdf["d"], pdf["t"]) for i, x in ix.leaks(plain_words(t))]
-                yield pd.DataFrame(out, columns=["d", "i", "held"])
+                if out:
+                    yield pd.DataFrame(out, columns=["d", "i", "held"])
 
         found.append(corpus.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}, held double"))
     out = reduce(DataFrame.unionByName, found)

@@ -30,7 +30,7 @@ _PRE = re.compile(r"(?is)<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)")
 _NOWIKI = re.compile(r"(?is)<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)")
 _SCRIPT = re.compile(r"(?is)<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)")
 _COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
-_DISPLAY = re.compile(r"(?s)\\\[(.+?)\\\]|\$\$(.+?)\$\$|\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}(.+?)\\end\{\3\}")
+_DISPLAY = re.compile(r"(?s)\\\[(.{1,5000}?)\\\]|\$\$(.{1,5000}?)\$\$|\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}(.{1,20000}?)\\end\{\3\}")
 _INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{1,200}?)(?<=[^\s\\])\$(?![\w$])|\\\(([^\n]+?)\\\)")
 _MATHY = re.compile(r"\\[A-Za-z]+|[\^_]\{|[\^_=<>+]")
 _MATHTAG = re.compile(r"(?is)<math\b[^<>]*>(.*?)</math\s*>")
@@ -39,11 +39,11 @@ _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,8}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 # --- markdown --------------------------------------------------------------------------------
 _ATX = re.compile(r"(?m)^[ ]{0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
-_SETEXT = re.compile(r"(?m)^([^\n\ue000]*[^\W\d_][^\n]*)\n[ ]{0,3}(={3,}|-{3,})[ \t]*$")
+_SETEXT = re.compile(r"(?m)^(?=[^\n]*[^\W\d_])([^\n]+)\n[ ]{0,3}(={3,}|-{3,})[ \t]*$")
 _IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^()\n]*)\)")
 _LINK = re.compile(r"(?<!!)\[([^\[\]\n]+)\]\(([^()\s]+)(?:\s+\"[^\"\n]*\")?\)")
 _NOTE = re.compile(r"\[\^[^\]\s]{1,20}\](:)?")
-_STRONG = re.compile(r"(?<![\w*])\*\*(?=\S)(.+?)(?<=\S)\*\*(?!\*)|(?<![\w_])__(?=\S)(.+?)(?<=\S)__(?![\w_])", re.S)
+_STRONG = re.compile(r"(?<![\w*])\*\*(?=\S)(.{1,500}?)(?<=\S)\*\*(?!\*)|(?<![\w_])__(?=\S)(.{1,500}?)(?<=\S)__(?![\w_])", re.S)
 _EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])")
 _STRIKE = re.compile(r"(?<!~)~~(?=\S)([^~\n]+?)(?<=\S)~~(?!~)")
 _TICK = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)\1(?!`)")

@@ -183,6 +183,24 @@ def test_large_files_are_split(spark, monkeypatch):
     assert {(f"c{i:03d}", f"c{i + 50:03d}") for i in range(50)} <= got
 
 
+@pytest.mark.parametrize(("noise", "least"), [(0.1, 0.85), (0.02, 0.85), (0.1, -2.0)])
+def test_cluster_of_a_third_is_searched_whole(spark, monkeypatch, noise, least):
+    """Distinct near-copies of one source hold a third of the vectors, beside copies and scaled copies."""
+    if hasattr(knn, "SLICE"):
+        monkeypatch.setattr(knn, "FILE_ROWS", 700)
+    rng = np.random.default_rng(4)
+    far, one = rng.normal(size=(2000, 64)), rng.normal(size=64)
+    v = np.concatenate([far, one + rng.normal(size=(1000, 64)) * noise, np.repeat(far[:1], 8, 0), far[:1] * 2]).astype(np.float32)
+    df = spark.createDataFrame([(f"c{i:04d}", "m", x.tolist()) for i, x in enumerate(v)], "chunk_id string, model string, dense array<float>")
+    got = {(r.id, r.place, r.neighbour) for r in knn.similar_vectors(df, "chunk_id", "model", "dense", least=least).collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -3)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert got == {(f"c{i:04d}", n + 1, f"c{j:04d}") for i in range(len(v)) for n, j in enumerate(order[i]) if s[i, j] >= max(least, -2)}
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 SAMPLES = {

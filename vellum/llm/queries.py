@@ -91,6 +91,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b"), "model").distinct()
 
 
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of every vector, however far."""
+    ship(spark)
+    r = knn.similar_vectors(table(spark, d, "embed_cache").select("chunk_id", "model", "dense"), "chunk_id", "model", "dense", least=-2.0)
+    return r.select(F.col("id").alias("chunk_id"), "model", "neighbour", F.round("cosine", 6).alias("cosine"), "place")
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     model = language.fit(table(spark, d, "documents"), "doc_id", "text", "lang")
@@ -147,5 +154,5 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p2_found, p2_stats, p3_found, p3_clean, p4_found, p4_ranks, p6_found, p7_found, p7_segments, p7_documents, p8_ids, p8_round_trip, p9_found, p10_found, p10_shares, p10_perplexity)
+    for f in (p1_found, p1_repaired, p2_found, p2_stats, p3_found, p3_clean, p4_found, p4_ranks, p6_found, p6_nearest, p7_found, p7_segments, p7_documents, p8_ids, p8_round_trip, p9_found, p10_found, p10_shares, p10_perplexity)
 }

@@ -35,6 +35,19 @@ def test_damage_kinds(spark):
     assert got == {("h", 1, "hyphenation"), ("m", 1, "misread"), ("g", 1, "misread"), ("p", 1, "page_number"), ("r", 1, "header"), ("r", 2, "header"), ("d", 0, "header"), ("d", 0, "page_number")}
 
 
+def test_copies_of_a_damaged_text_do_not_hide_it(spark):
+    sound = [("engine_pages", f"s{i}", 1, PROSE * 2 + f"Nota {i}.") for i in range(40)]
+    copied = [("engine_pages", f"c{i}", 1, PROSE + "A b0mba mede a prin cipal.") for i in range(20)]
+    once = [("engine_pages", "o", 1, PROSE + "Outra b0mba.")]
+    want = {(f"c{i}", 1, "misread") for i in range(20)} | {("o", 1, "misread")}
+    assert damage(spark, sound + copied + once) == want
+    gap = [("engine_pages", f"g{i}", 1, PROSE + "A prin cipal bomba.") for i in range(20)]
+    assert damage(spark, sound + gap) == {(f"g{i}", 1, "misread") for i in range(20)}
+    # Nor do they turn a sound word into a misread form of theirs.
+    reverse = [("engine_pages", f"r{i}", 1, PROSE + "O rcgistro mostra.") for i in range(2000)]
+    assert damage(spark, [("engine_pages", f"s{i}", 1, PROSE + f"Nota {i}.") for i in range(40)] + reverse) == {(f"r{i}", 1, "misread") for i in range(2000)}
+
+
 def test_damage_empty(spark):
     assert damage(spark, []) == set()
 

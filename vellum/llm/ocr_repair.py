@@ -78,9 +78,10 @@ def _hash(s: str) -> int:
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
-    """``(w, n, capital)``: counts of lower-cased words and how many began with a capital only;
-    combined map-side."""
-    return texts.select(F.explode(words_of(F.col(text))).alias("o")).groupBy(F.lower("o").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("o").rlike(r"^\p{Lu}.*\p{Ll}")).alias("capital"))
+    """``(w, n, capital, n_rows)``: counts of lower-cased words and how many began with a capital only,
+    over distinct texts, and counts over all rows; combined map-side."""
+    words = texts.groupBy(text).agg(F.count("*").alias("copies")).select("copies", F.explode(words_of(F.col(text))).alias("o"))
+    return words.groupBy(F.lower("o").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("o").rlike(r"^\p{Lu}.*\p{Ll}")).alias("capital"), F.sum("copies").alias("n_rows"))
 
 
 def frequent_floor(vocab: DataFrame, share: float = FREQUENT_SHARE, least: int = FREQUENT_LEAST) -> int:
@@ -93,14 +94,19 @@ def corrections(vocab: DataFrame, floor: int, ratio: int = RATIO) -> DataFrame:
 
     The rare side carries one row per confusion it contains, with the hash its variant must have;
     equality is verified on the words themselves (one place, or all places of the confusion). A word
-    met with a capital only is a name, not the misread form of a word usually written without."""
-    clean = vocab.where((F.col("n") >= floor) & F.col("w").rlike(r"^[\p{L}\p{M}]+$")).select(F.col("w").alias("fix"), F.col("n").alias("m"), (F.col("capital") / F.col("n")).alias("fix_capital"), anagram_hash(F.col("w")).alias("h"))
+    met with a capital only is a name, not the misread form of a word usually written without.
+
+    Copies of a damaged text must not make its words look sound, so a variant counts that is frequent
+    and ``ratio`` times as frequent over distinct texts; one that is so over all rows counts too if it
+    is the more frequent over distinct texts."""
+    clean = vocab.where((F.col("n") >= floor) & F.col("w").rlike(r"^[\p{L}\p{M}]+$")).select(F.col("w").alias("fix"), F.col("n").alias("m"), F.col("n_rows").alias("m_rows"), (F.col("capital") / F.col("n")).alias("fix_capital"), anagram_hash(F.col("w")).alias("h"))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(_hash(b) - _hash(a)).cast("bigint").alias("d")) for a, b in CONFUSIONS])
     odd = vocab.withColumn("x", F.explode(F.filter(pairs, lambda p: F.contains(F.col("w"), p["a"]))))
     times = ((F.length("w") - F.length(F.replace(F.col("w"), F.col("x.a"), F.lit("")))) / F.length("x.a")).cast("int")
     odd = odd.withColumn("times", times).withColumn("k", F.explode(F.array_distinct(F.array(F.lit(1), F.col("times")))))
-    odd = odd.select("w", "n", "capital", "x", "k", (anagram_hash(F.col("w")) + F.col("k") * F.col("x.d")).alias("h"))
-    met = odd.join(clean, "h").where((F.col("m") >= F.col("n") * ratio) & ~((F.col("capital") > 0.8 * F.col("n")) & (F.col("fix_capital") < 0.5)))
+    odd = odd.select("w", "n", "n_rows", "capital", "x", "k", (anagram_hash(F.col("w")) + F.col("k") * F.col("x.d")).alias("h"))
+    times_more = (F.col("m") >= F.col("n") * ratio) | (F.col("m_rows") >= F.col("n_rows") * ratio) & (F.col("m") > F.col("n"))
+    met = odd.join(clean, "h").where(times_more & ~((F.col("capital") > 0.8 * F.col("n")) & (F.col("fix_capital") < 0.5)))
     once = F.expr("exists(sequence(1, length(w)), p -> substring(w, p, length(x.a)) = x.a and concat(substring(w, 1, p - 1), x.b, substring(w, p + length(x.a), length(w))) = fix)")
     met = met.where(F.when(F.col("k") == 1, once).otherwise(F.replace(F.col("w"), F.col("x.a"), F.col("x.b")) == F.col("fix")))
     return met.groupBy("w").agg(F.max(F.struct("m", "fix")).alias("b"), F.first("n").alias("n")).select("w", F.col("b.fix").alias("fix"), "n")
@@ -220,8 +226,9 @@ def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str],
 
 
 def _short_frequent(texts: DataFrame, text: str, share: float) -> dict[str, int]:
-    """Counts of frequent words of any length, hyphenated ones included; at most 1 / share."""
-    w = texts.select(F.explode(F.regexp_extract_all(F.lower(_joined(F.col(text))), F.lit(r"(?<![\p{L}\p{N}])(\p{L}+(?:-\p{L}+)?)(?![\p{L}\p{N}])"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    """Counts over distinct texts of frequent words of any length, hyphenated ones included; at most
+    1 / share."""
+    w = texts.select(text).distinct().select(F.explode(F.regexp_extract_all(F.lower(_joined(F.col(text))), F.lit(r"(?<![\p{L}\p{N}])(\p{L}+(?:-\p{L}+)?)(?![\p{L}\p{N}])"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = w.agg(F.sum("n")).first()[0] or 0
     floor = max(FREQUENT_LEAST, int(total * share))
     return {r.w: r.n for r in w.where(F.col("n") >= floor).collect()}

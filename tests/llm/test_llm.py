@@ -58,6 +58,31 @@ def test_repair():
     assert ocr_repair.repair(None, {}, set()) == ""
 
 
+def test_repair_uses_all_evidence(spark):
+    table = "Lista de peças\nNúmeros:\n12\n7\n15\n9\nSoma dos números:\nFim da lista aqui."
+    rows = [("engine_pages", f"s{i}", 1, PROSE * 2 + f"O decreto-lei vale. Nota {i}.") for i in range(30)] + [
+        ("engine_pages", "r", 2, "Manual da bomba\nba mede o filtro.\n2"),
+        ("engine_pages", "r", 1, "Manual da bomba\nO registro mostra que a bom-\n1"),
+        ("engine_pages", "h", 1, PROSE + "O decreto-\nlei vale e a bomba prin-\ncipal mede."),
+        ("engine_pages", "g", 1, PROSE + "A prin cipal bomba."),
+        ("engine_pages", "t", 1, table), ("engine_pages", "n", 1, None), ("engine_pages", None, 1, "Um."), ("engine_pages", None, 1, "Dois."),
+    ]
+    pages = ocr_repair.repaired(spark.createDataFrame(rows, "record string, doc string, page_num int, text string"))
+    got = {(r.doc, r.page_num): r.text for r in pages.collect() if r.doc}
+    assert got["r", 1] == "O registro mostra que a bom-" and got["r", 2] == "ba mede o filtro."
+    assert got["h", 1].endswith("O decreto-lei vale e a bomba principal mede.")
+    assert got["g", 1].endswith("A principal bomba.")
+    assert all(x in got["t", 1].split() for x in ("12", "7", "15", "9"))
+    assert got["n", 1] == "" and len(got) == 36
+    whole = [(r.doc, r.text) for r in ocr_repair.assembled(pages).collect()]
+    assert ("r", "O registro mostra que a bomba mede o filtro.") in whole
+    assert sorted(t for d, t in whole if d is None) == ["Dois.", "Um."] and len(whole) == 37
+
+
+def test_assemble():
+    assert ocr_repair.assemble(["A bomba prin-", "cipal mede", "", "o filtro.", "Outra página."]) == "A bomba principal mede o filtro.\n\nOutra página."
+
+
 def test_anagram_hash(spark):
     r = spark.createDataFrame([("roma", "amor"), ("a", "b")], "a string, b string").select((ocr_repair.anagram_hash(F.col("a")) == ocr_repair.anagram_hash(F.col("b"))).alias("same"))
     assert [x.same for x in r.collect()] == [True, False]

@@ -167,6 +167,27 @@ def edge_lines(lines: list[str], depth: int = 2) -> list[str]:
     return body[:depth] + body[max(depth, len(body) - depth) :]
 
 
+def is_cut_word(m: re.Match, frequent: Counter | dict) -> bool:
+    """Whether a line-end hyphen cuts a word, by the counts of the joined word and of its hyphenated
+    form; otherwise it is the hyphen of a compound."""
+    a, mark, b = m.groups()
+    if b[0].isupper() and not a.isupper():
+        return False
+    whole = frequent.get(a.lower() + "-" + b.lower(), 0)
+    return mark != "-" or not whole or frequent.get((a + b).lower(), 0) > whole
+
+
+_GAP = re.compile(r"(?<![\w\-/])(?=([^\W\d_]+)[ \n]([^\W\d_]+)(?![\w\-/]))")
+
+
+def is_gap(a: str, b: str, frequent: Counter | dict) -> bool:
+    """Whether two neighbours are one word split by a gap: the joined word is frequent, a part is not."""
+    if len(a) + len(b) < 5 or b[0].isupper() and not a.isupper():
+        return False
+    low = (a.lower(), b.lower())
+    return low[0] + low[1] in frequent and (low[0] not in frequent and len(a) > 1 or low[1] not in frequent and len(b) > 1)
+
+
 def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str], list[str]]:
     """(kinds of damage seen inside the text, keys of lines that may be running heads).
 
@@ -177,11 +198,7 @@ def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str],
     lines = _lines(text)
     # Hyphenation, by the counts of the joined word and of its hyphenated form.
     for m in _CUT.finditer(text):
-        a, mark, b = m.groups()
-        word = (a + b).lower()
-        if b[0].isupper() and not a.isupper():
-            continue
-        if mark != "-" or frequent.get(word, 0) > frequent.get(a.lower() + "-" + b.lower(), 0) or not frequent.get(a.lower() + "-" + b.lower(), 0):
+        if is_cut_word(m, frequent):
             kinds.add("hyphenation")
             break
     # Page numbers.
@@ -214,14 +231,8 @@ def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str],
             kinds.add("misread")
             break
     else:
-        for m in re.finditer(r"(?<![\w\-/])(?=([^\W\d_]+)[ \n]([^\W\d_]+)(?![\w\-/]))", body):
-            a, b = m.group(1), m.group(2)
-            if len(a) + len(b) < 5 or b[0].isupper() and not a.isupper():
-                continue
-            low = (a.lower(), b.lower())
-            if low[0] + low[1] in frequent and (low[0] not in frequent and len(a) > 1 or low[1] not in frequent and len(b) > 1):
-                kinds.add("misread")
-                break
+        if any(is_gap(m.group(1), m.group(2), frequent) for m in _GAP.finditer(body)):
+            kinds.add("misread")
     return kinds, keys
 
 
@@ -234,6 +245,13 @@ def _short_frequent(texts: DataFrame, text: str, share: float) -> dict[str, int]
     return {r.w: r.n for r in w.where(F.col("n") >= floor).collect()}
 
 
+def recurring_heads(heads: DataFrame) -> DataFrame:
+    """Of ``(record, doc, page_num, head)`` those whose head stands on several pages of its document."""
+    heads = heads.select("record", "doc", "page_num", "head").distinct()
+    again = heads.groupBy("record", "doc", "head").agg(F.count("*").alias("n")).where("n > 1").select("record", "doc", "head")
+    return heads.join(again, ["record", "doc", "head"], "left_semi")
+
+
 def find_damage(texts: DataFrame, page: str = "page_num", share: float = FREQUENT_SHARE) -> DataFrame:
     """``(record, doc, page_num, kind)`` from ``(record, doc, page_num, text)``.
 
@@ -261,9 +279,7 @@ def find_damage(texts: DataFrame, page: str = "page_num", share: float = FREQUEN
 
     seen = cut(rows.mapInPandas(look, "record string, doc string, page_num int, kinds array<string>, heads array<string>"))
     inside = seen.select(*keys, F.explode("kinds").alias("kind"))
-    heads = seen.select(*keys, F.explode("heads").alias("head")).distinct()
-    again = heads.groupBy("record", "doc", "head").agg(F.count("*").alias("n")).where("n > 1").select("record", "doc", "head")
-    recurring = heads.join(again, ["record", "doc", "head"], "left_semi").select(*keys).withColumn("kind", F.lit("header"))
+    recurring = recurring_heads(seen.select(*keys, F.explode("heads").alias("head"))).select(*keys).withColumn("kind", F.lit("header"))
     return inside.unionByName(misread).unionByName(recurring).distinct()
 
 
@@ -279,21 +295,45 @@ def close_gaps(run: str, frequent: dict[str, int]) -> str:
     return w if len(w) > 4 else run
 
 
-def repair(text: str | None, fixes: dict[str, str], heads: set[str], frequent: dict[str, int] | None = None) -> str:
-    """Readable paragraphs: heads and page numbers dropped, cut words joined, misread words and
-    spelled-out words corrected, wrapped lines unwrapped. Null gives an empty text."""
+def close_splits(text: str, frequent: dict[str, int]) -> str:
+    """Text whose words split by one gap are closed; a word is joined to one neighbour only."""
+    out, at, used = [], 0, -1
+    for m in _GAP.finditer(text):
+        if m.start() > used and is_gap(m.group(1), m.group(2), frequent):
+            out.append(text[at : m.end(1)])
+            at, used = m.start(2), m.end(2)
+    return "".join(out) + text[at:]
+
+
+def _close_cuts(text: str, frequent: dict[str, int]) -> str:
+    """Text whose line-end hyphens are closed; the hyphen of a compound stays."""
+    return _CUT.sub(lambda m: m.group(1) + ("" if is_cut_word(m, frequent) else m.group(2)) + m.group(3), text)
+
+
+def _kept_lines(lines: list[str], heads: set[str], paged: bool) -> list[str]:
+    """Lines without heads and page numbers, which stand at the edges of a page as in :func:`inspect`."""
+    if not paged:
+        seen = Counter(k for l in lines if (k := head_key(l)))
+        return [l for l in lines if not (is_page_number(l) or (k := head_key(l)) and (k in heads or seen[k] > 1 or has_head_form(l)))]
+    full = [i for i, l in enumerate(lines) if l.strip()]
+    body = [i for i in full if not is_page_number(lines[i])]
+    drop = {i for i in full[:2] + full[-2:] if is_page_number(lines[i])}
+    drop |= {i for i in body[:2] + body[max(2, len(body) - 2) :] if (k := head_key(lines[i])) and (k in heads or has_head_form(lines[i]))}
+    return [l for i, l in enumerate(lines) if i not in drop]
+
+
+def repair(text: str | None, fixes: dict[str, str], heads: set[str], frequent: dict[str, int] | None = None, paged: bool = False) -> str:
+    """Readable paragraphs: heads and page numbers dropped, cut words joined, misread words, split
+    and spelled-out words corrected, wrapped lines unwrapped. Null gives an empty text.
+
+    ``paged``: the text is one page, ``heads`` are the keys that recur over the pages of its document."""
     if not text:
         return ""
+    frequent = frequent or {}
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    lines = _lines(text)
-    kept, seen = [], Counter(k for l in lines if (k := head_key(l)))
-    for l in lines:
-        k = head_key(l)
-        if is_page_number(l) or k and (k in heads or seen[k] > 1 or has_head_form(l)):
-            continue
-        kept.append(l)
-    s = _CUT.sub(r"\1\3", "\n".join(kept))
-    s = _SPELLED.sub(lambda m: close_gaps(m.group(), frequent or {}), s)
+    s = _close_cuts("\n".join(_kept_lines(_lines(text), heads, paged)), frequent)
+    s = _SPELLED.sub(lambda m: close_gaps(m.group(), frequent), s)
+    s = close_splits(s, frequent)
 
     def fix(m: re.Match) -> str:
         f = fixes.get(m.group().lower())
@@ -318,7 +358,7 @@ def repair(text: str | None, fixes: dict[str, str], heads: set[str], frequent: d
 def repaired(texts: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
     """``(record, doc, page_num, text)`` with the text repaired, one row per distinct input row.
 
-    Corrections travel with their own text only."""
+    Corrections and the heads that recur over the pages of its document travel with their own text only."""
     keys = ["record", "doc", "page_num"]
     rows = cut(texts.select(*keys, "text").distinct())
     vocab = cut(vocabulary(rows.where("text is not null"), "text"))
@@ -326,11 +366,49 @@ def repaired(texts: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
     by_text = rows.withColumn("h", F.xxhash64("text"))
     found = misread_words(by_text.where("text is not null"), [*keys, "h"], "text", fixes, fixes.count())
     own = found.groupBy(*keys, "h").agg(F.map_from_arrays(F.collect_list("w"), F.collect_list("fix")).alias("fixes"))
-    joined = by_text.join(own, [*keys, "h"], "left").drop("h")
     held = rows.sparkSession.sparkContext.broadcast(_short_frequent(rows.where("text is not null"), "text", share))
 
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pages = [{k for l in edge_lines(_lines(t.replace("\r\n", "\n").replace("\r", "\n"))) if (k := head_key(l))} for t in pdf["text"]]
+            yield pdf[keys].assign(head=[sorted(x) for x in pages]).explode("head").dropna(subset=["head"])
+
+    pages = rows.where("text is not null and page_num <> 0").mapInPandas(edges, "record string, doc string, page_num int, head string")
+    heads = recurring_heads(cut(pages)).groupBy(*keys).agg(F.collect_set("head").alias("heads"))
+    joined = by_text.join(own, [*keys, "h"], "left").join(heads, keys, "left").drop("h")
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[keys].assign(text=[repair(t, dict(f) if f is not None else {}, set(), held.value) for t, f in zip(pdf["text"], pdf["fixes"])])
+            each = zip(pdf["text"], pdf["fixes"], pdf["heads"], pdf["page_num"])
+            yield pdf[keys].assign(text=[repair(t, dict(f) if f is not None else {}, set(h) if h is not None else set(), held.value, p != 0) for t, f, h, p in each])
 
     return joined.mapInPandas(work, "record string, doc string, page_num int, text string")
+
+
+def assemble(pages: list[str]) -> str:
+    """One text of repaired pages in order: a page that breaks off goes on in the next if that begins
+    in lower case, and its line-end hyphen is closed then; otherwise a paragraph ends with the page."""
+    out = ""
+    for p in pages:
+        if not p:
+            continue
+        if out and p[0].islower() and (m := re.search(rf"[^\W\d_][{_HYPHENS}]$", out)):
+            out = out[: m.start() + 1] + p
+        elif out:
+            out += (" " if p[0].islower() and not re.search(r"[.!?:;…]$", out) else "\n\n") + p
+        else:
+            out = p
+    return out
+
+
+def assembled(pages: DataFrame) -> DataFrame:
+    """``(record, doc, text)``: the repaired pages of each document as one text, in page order; a
+    document is the unit of work. Texts without a doc belong together with nothing and stay alone."""
+    alone = F.when(F.col("doc").isNull(), F.struct("page_num", "text"))
+    whole = pages.groupBy("record", "doc", alone.alias("alone")).agg(F.transform(F.sort_array(F.collect_list(F.struct("page_num", "text"))), lambda x: x["text"]).alias("pages"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["record", "doc"]].assign(text=[assemble(list(p)) for p in pdf["pages"]])
+
+    return whole.select("record", "doc", "pages").mapInPandas(work, "record string, doc string, text string")

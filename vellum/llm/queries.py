@@ -44,6 +44,11 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return ocr_repair.repaired(_texts(spark, d, False))
 
 
+def p1_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired texts with the pages of a document assembled in order."""
+    return ocr_repair.assembled(p1_repaired(spark, d))
+
+
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return text_stats.text_stats(_pages(spark, d), ["doc", "page_num"], "ocr_text")
@@ -154,5 +159,5 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p2_found, p2_stats, p3_found, p3_clean, p4_found, p4_ranks, p6_found, p6_nearest, p7_found, p7_segments, p7_documents, p8_ids, p8_round_trip, p9_found, p10_found, p10_shares, p10_perplexity)
+    for f in (p1_found, p1_repaired, p1_documents, p2_found, p2_stats, p3_found, p3_clean, p4_found, p4_ranks, p6_found, p6_nearest, p7_found, p7_segments, p7_documents, p8_ids, p8_round_trip, p9_found, p10_found, p10_shares, p10_perplexity)
 }

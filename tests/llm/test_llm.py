@@ -1,6 +1,7 @@
 """Operators of the training-text problems on small cases, against brute force and round trips."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -110,6 +111,15 @@ def test_partials_do_not_depend_on_cuts():
             assert text_stats.finish(parts[0]) == want
 
 
+def test_long_runs_are_counted_whole(spark):
+    rows = [("a", 1, "é" * 9_000 + "7" * 600 + "#" * 400), ("a", 2, "ab " + "x" * 300 + "-" + "casa" + " fim.")]
+    for chunk in (777, 65_536):
+        got = {r.page: r for r in text_stats.text_stats(spark.createDataFrame(rows, "doc string, page int, text string"), ["doc", "page"], "text", chunk).collect()}
+        assert (got[1].n_chars, got[1].n_words, got[1].mean_word_length) == (10_000, 1, 9_000)
+        assert (got[1].alphanumeric_ratio, got[1].symbol_ratio, got[1].digit_ratio, got[1].diacritic_ratio) == (0.96, 0.04, 600 / 9600, 1.0)
+        assert (got[2].n_words, got[2].mean_word_length) == (4, (2 + 300 + 4 + 3) / 4)
+
+
 def test_stats_and_verdict(spark):
     rows = [("a", 1, PROSE * 4, "c"), ("a", 2, "- bomba da oficina\n- filtro, 3 kg\n- Prensa AB-12", "c"), ("a", 3, "", "c"), ("a", 4, None, "c"), ("a", 5, "| 1 | 2 |\n| 3 | 4 |", "c"), ("a", 6, PROSE.upper(), "c"), ("a", 1, PROSE * 4, "c")]
     df = spark.createDataFrame(rows, "doc string, page int, text string, c string")
@@ -136,6 +146,22 @@ def test_markup_families(text, family):
     assert markup.convert(text)[1] == family
 
 
+def test_long_spans_are_markup():
+    assert markup.convert("a **" + "palavra " * 200 + "fim** b")[1] == {"markdown"}
+    assert markup.convert("a \\[ " + "x + " * 3000 + "y \\] b")[1] == {"latex"}
+    assert markup.convert("\\begin{align}" + "x &= y \\\\ " * 4000 + "\\end{align}")[1] == {"latex"}
+
+
+def test_spans_are_those_of_the_patterns():
+    strong = re.compile(r"(?<![\w*])\*\*(?=\S)(.+?)(?<=\S)\*\*(?!\*)|(?<![\w_])__(?=\S)(.+?)(?<=\S)__(?![\w_])", re.S)
+    display = re.compile(r"(?s)\\\[(.+?)\\\]|\$\$(.+?)\$\$|\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}(.+?)\\end\{\3\}")
+    rng = random.Random(6)
+    for signs, pattern, spans in ((["*", "**", "__", "_", "a", " ", "\n"], strong, markup.strong_spans), (["\\[", "\\]", "$$", "$", "\\begin{align}", "\\end{align}", "\\begin{math}", "\\end{math}", "x", " "], display, markup.display_spans)):
+        for _ in range(3000):
+            s = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+            assert [(a, d) for a, _, _, d in spans(s)] == [m.span() for m in pattern.finditer(s)], s
+
+
 def test_markup_keeps_structure():
     t = "<h1>Top</h1><p>A long enough line of text.</p><ul><li>one item</li></ul>\n```python\nx = '<b>'\n```\nand $E = m c^{2}$ here\n<script>var a=1;</script>"
     c = markup.convert(t)[0]

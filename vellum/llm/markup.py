@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +31,7 @@ _PRE = re.compile(r"(?is)<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)")
 _NOWIKI = re.compile(r"(?is)<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)")
 _SCRIPT = re.compile(r"(?is)<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)")
 _COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
-_DISPLAY = re.compile(r"(?s)\\\[(.{1,5000}?)\\\]|\$\$(.{1,5000}?)\$\$|\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}(.{1,20000}?)\\end\{\3\}")
+_DISPLAY = re.compile(r"\\\[|\$\$|\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}")
 _INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{1,200}?)(?<=[^\s\\])\$(?![\w$])|\\\(([^\n]+?)\\\)")
 _MATHY = re.compile(r"\\[A-Za-z]+|[\^_]\{|[\^_=<>+]")
 _MATHTAG = re.compile(r"(?is)<math\b[^<>]*>(.*?)</math\s*>")
@@ -43,7 +44,8 @@ _SETEXT = re.compile(r"(?m)^(?=[^\n]*[^\W\d_])([^\n]+)\n[ ]{0,3}(={3,}|-{3,})[ \
 _IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^()\n]*)\)")
 _LINK = re.compile(r"(?<!!)\[([^\[\]\n]+)\]\(([^()\s]+)(?:\s+\"[^\"\n]*\")?\)")
 _NOTE = re.compile(r"\[\^[^\]\s]{1,20}\](:)?")
-_STRONG = re.compile(r"(?<![\w*])\*\*(?=\S)(.{1,500}?)(?<=\S)\*\*(?!\*)|(?<![\w_])__(?=\S)(.{1,500}?)(?<=\S)__(?![\w_])", re.S)
+_STRONG = re.compile(r"(?<![\w*])\*\*(?=\S)|(?<![\w_])__(?=\S)")
+_STRONG_ENDS = {"**": re.compile(r"(?<=\S)(?=\*\*(?!\*))"), "__": re.compile(r"(?<=\S)(?=__(?![\w_]))")}
 _EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])")
 _STRIKE = re.compile(r"(?<!~)~~(?=\S)([^~\n]+?)(?<=\S)~~(?!~)")
 _TICK = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)\1(?!`)")
@@ -75,6 +77,38 @@ _TABULAR = re.compile(r"(?s)\\begin\{(tabular|tabularx|array|longtable)\*?\}(?:\
 _BLOCK = {"p", "div", "br", "tr", "table", "ul", "ol", "dl", "dt", "section", "article", "header", "footer", "nav", "blockquote", "hr", "thead", "tbody", "body", "html", "head", "figure", "form"}
 
 
+def display_spans(s: str) -> list[tuple[int, int, int, int]]:
+    """(start, body start, body end, end) of display formulas of any length. Linear: an opening sign
+    whose closing sign is not met ahead rules out all later ones of its kind."""
+    out, at, missing = [], 0, set()
+    while m := _DISPLAY.search(s, at):
+        close = f"\\end{{{m.group(1)}}}" if m.group(1) else "\\]" if m.group() == "\\[" else "$$"
+        end = -1 if close in missing else s.find(close, m.end() + 1)
+        if end < 0:
+            missing.add(close)
+            at = m.start() + 1
+        else:
+            at = end + len(close)
+            out.append((m.start(), m.end(), end, at))
+    return out
+
+
+def strong_spans(s: str) -> list[tuple[int, int, int, int]]:
+    """The same of strong text of any length; possible ends are listed once."""
+    out, at, ends = [], 0, {}
+    while m := _STRONG.search(s, at):
+        sign = m.group()
+        if sign not in ends:
+            ends[sign] = [x.start() for x in _STRONG_ENDS[sign].finditer(s)]
+        k = bisect_left(ends[sign], m.end() + 1)
+        if k == len(ends[sign]):
+            at = m.start() + 1
+        else:
+            at = ends[sign][k] + 2
+            out.append((m.start(), m.end(), ends[sign][k], at))
+    return out
+
+
 class _Text:
     """One text under conversion: the working string, what is set aside, the families met."""
 
@@ -87,6 +121,15 @@ class _Text:
         self.kept.append(content)
         return f"{_HOLD}{len(self.kept) - 1}{_END}"
 
+    def spans(self, family: str, spans: list[tuple[int, int, int, int]], put) -> None:
+        """Replace each span by what ``put`` makes of its body."""
+        out, at = [], 0
+        for a, b, c, d in spans:
+            self.found.add(family)
+            out += [self.s[at:a], put(self.s[b:c])]
+            at = d
+        self.s = "".join(out) + self.s[at:]
+
     def sub(self, family: str, pattern: re.Pattern, repl) -> None:
         out, n = pattern.subn(repl, self.s)
         if n:
@@ -179,7 +222,7 @@ def _markdown(t: _Text) -> None:
     t.sub("markdown", _SETEXT, lambda m: ("# " if m.group(2)[0] == "=" else "## ") + m.group(1).strip())
     t.sub("markdown", _TASK, r"\1 ")
     t.sub("markdown", _QUOTE, "")
-    t.sub("markdown", _STRONG, lambda m: m.group(1) or m.group(2))
+    t.spans("markdown", strong_spans(t.s), lambda body: body)
     t.sub("markdown", _STRIKE, r"\1")
     t.sub("markdown", _EM, r"\1")
 
@@ -220,7 +263,7 @@ def convert(text: str | None) -> tuple[str, set[str]]:
     t.code("wiki", _NOWIKI, 2, True)
     t.code("html", _PRE, 1, True)
     t.sub("html", _MATHTAG, lambda m: t.hold("$" + m.group(1).strip() + "$"))
-    t.sub("latex", _DISPLAY, lambda m: "\n" + t.hold("$$ " + next(g for g in (m.group(1), m.group(2), m.group(4)) if g).strip() + " $$") + "\n")
+    t.spans("latex", display_spans(t.s), lambda body: "\n" + t.hold("$$ " + body.strip() + " $$") + "\n")
 
     def inline(m: re.Match) -> str:
         body = m.group(1) or m.group(2)

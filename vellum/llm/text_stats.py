@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Characters of a chunk; chunks joined per tree level.
 CHUNK, FAN = 65_536, 16
-#: Characters kept of an unbroken run of non-blanks; the rest is only counted.
-LONG_WORD = 256
 
 #: Common words of the five languages (fixed values).
 COMMON = frozenset(
@@ -96,10 +94,10 @@ class Scan:
                 self.line[0] += ch != "\r"
         self.run_char, self.run = "", 0
 
-    def token(self, tok: str, extra: int = 0) -> None:
-        """One run of non-blanks; ``extra`` characters of it were not kept."""
+    def token(self, tok: str) -> None:
+        """One run of non-blanks, however long: every pattern below reads it in linear time."""
         n = self.n
-        n["chars"] += len(tok) + extra
+        n["chars"] += len(tok)
         alnum = 0
         for ch in tok:
             if ch.isalnum():
@@ -117,7 +115,7 @@ class Scan:
             if self.run > self.longest:
                 self.longest = self.run
         n["alnum"] += alnum
-        words = _LETTERS.findall(tok) if not extra else []
+        words = _LETTERS.findall(tok)
         count = len(words) + (0 if words else bool(alnum))
         n["words"] += count
         n["word_chars"] += sum(map(len, words))
@@ -138,7 +136,7 @@ class Scan:
         s[3] += singles
         s[4] += tok.count(";")
         stopped = bool(_END.search(tok)) and not _LEADER.search(tok)
-        self.line = [self.line[0] + len(tok) + extra, self.line[1], int(stopped or tok[-1] in ":;,"), 1]
+        self.line = [self.line[0] + len(tok), self.line[1], int(stopped or tok[-1] in ":;,"), 1]
         if stopped and not (first and self.line[1]):
             # A number with a point may be an ordinal; the sentence goes on then.
             if not re.fullmatch(r"\d{1,2}\.", tok):
@@ -151,8 +149,7 @@ def scan(text: str) -> Scan:
     body = text.rstrip()
     for m in _TOKEN.finditer(body):
         s.blanks(m.group(1))
-        tok = m.group(2)
-        s.token(tok[:LONG_WORD], max(0, len(tok) - LONG_WORD))
+        s.token(m.group(2))
     s.blanks(text[len(body) :])
     return s
 

@@ -33,3 +33,21 @@ def test_core_query_matches_sql(spark, name):
     rel = con.sql(E.oracle_sql()[name])
     at = [list(rel.columns).index(c) for c in cols]
     assert got == sorted(repr([r[k] for k in at]) for r in rel.fetchall())
+
+
+def _both(spark, name, root):
+    """Rows of a query and of its SQL over tables of a folder."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(root):
+        con.sql(f"create view {f[:-8]} as select * from '{root}/{f}/*.parquet'")
+    rel = con.sql(E.oracle_sql()[name])
+    return sorted(tuple(r[c] for c in rel.columns) for r in E.queries()[name](spark, root).collect()), sorted(rel.fetchall())
+
+
+def test_metadata_of_whole_bodies(spark, tmp_path):
+    bodies = [("a", "x" * 300 + "one"), ("b", "x" * 300 + "two"), ("c", " \n" + "y" * 500), ("d", None)]
+    df = spark.createDataFrame(bodies, "doc_id string, body string")
+    df.selectExpr("*", *[f"cast(null as {f.dataType.simpleString()}) {f.name}" for f in spark.read.parquet(f"{ROOT}/documents_md.parquet").schema if f.name not in df.columns]).write.parquet(f"{tmp_path}/documents_md.parquet")
+    got, want = _both(spark, "strip_metadata_whole", str(tmp_path))
+    assert got == want and len({digest for _, digest in got}) == 3

@@ -89,6 +89,12 @@ def strip_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _bodies(spark, d).select("doc_id", F.sha1(V.strip_metadata_prefix(t)).alias("digest")).distinct()
 
 
+def strip_metadata_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over whole bodies."""
+    t = F.expr("""concat('[{"label": "t", "bbox": [1, 2]}, {"label": "u", "bbox": [3]}]\\n', body)""")
+    return _bodies(spark, d).select("doc_id", F.sha1(V.strip_metadata_prefix(t)).alias("digest")).distinct()
+
+
 def strip_det(spark: SparkSession, d: str) -> DataFrame:
     t = F.expr("concat('<|det|>a b<|/det|>', body, '<|/det|>\\n\\n\\n\\nx')")
     return _bodies(spark, d).select("doc_id", F.sha1(V.strip_det_format(t)).alias("digest")).distinct()
@@ -230,7 +236,7 @@ def items_by_page(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        prompt_context, sources_block, answer_flags, display_answer, html_table_to_markdown, doctags_to_markdown, strip_reasoning, strip_repetition, strip_metadata, strip_det,
+        prompt_context, sources_block, answer_flags, display_answer, html_table_to_markdown, doctags_to_markdown, strip_reasoning, strip_repetition, strip_metadata, strip_metadata_whole, strip_det,
         content_kind, clean_output, csv_to_pipes, word_set, number_set, content_overlap, completeness_check, quality_score, diacritic_ratio, table_quality, numeric_density,
         router_decision, native_text_check, page_confidence, quality_summary, heading_detect, list_item_detect, layout_items, median_font, table_item_markdown,
         document_markdown, document_stats, items_by_page,
@@ -406,6 +412,7 @@ c AS (SELECT *, CASE WHEN length(s) >= 10 THEN row_number() OVER (PARTITION BY d
 m AS (SELECT doc_id, t, min(CASE WHEN a > 5 OR b > 10 THEN p END) AS cut FROM c GROUP BY ALL)
 SELECT DISTINCT doc_id, sha1(CASE WHEN cut = 1 THEN t ELSE {Q.strip('x')} END) AS digest FROM (SELECT c.doc_id, c.t, m.cut, coalesce(string_agg(CASE WHEN m.cut IS NULL OR p < m.cut THEN l END, chr(10) ORDER BY p), '') AS x FROM c JOIN m USING (doc_id, t) GROUP BY ALL)""",
     "strip_metadata": "SELECT DISTINCT doc_id, sha1(regexp_replace(left(body, 200), '^\\s*\\n*', '')) AS digest FROM documents_md WHERE body IS NOT NULL",
+    "strip_metadata_whole": "SELECT DISTINCT doc_id, sha1(regexp_replace(body, '^\\s*\\n*', '')) AS digest FROM documents_md WHERE body IS NOT NULL",
     "strip_det": _digest(Q.strip(_subs("'a b' || body || chr(10) || chr(10) || chr(10) || chr(10) || 'x'", [(r"<\|/?det\|>", "''"), (r"\n{3,}", _NL2)]))),
     "content_kind": f"""SELECT DISTINCT doc_id, regexp_matches(s, '^<(?:table|html|div|h)') OR contains(left(s, 500), '<table') AS html, contains(left(s, 200), '<doctag') AS doctags
 FROM (SELECT doc_id, lower({Q.strip('body')}) AS s FROM documents_md WHERE body IS NOT NULL)""",

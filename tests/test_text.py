@@ -1,5 +1,8 @@
 """Cleaning, metadata, conversion and quality on small cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +138,31 @@ def test_files(spark, tmp_path):
     assert got["t.csv"].text == "| a | b,c |\n| 1 | 2 |"
     assert got["d.docx"].text == "## Top\nBody\n| 1 |"
     assert got["bad.docx"].error
+
+
+def test_duplicate_lines_of_all_documents(spark, tmp_path):
+    """Against brute force: first occurrences, and lines whose first address was met before."""
+    import hashlib
+
+    from vellum.catalog import QUERIES
+
+    rng = random.Random(5)
+    parts = ["- casa", "casa", "1. casa", "ver http://a.b/x", "outro http://a.b/x aqui", "http://c.d e http://a.b/x", "", "fim", "veja http://c.d"]
+    docs = [(f"d{i}", "\n".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(200)] + [("null", None), ("empty", "")]
+    spark.createDataFrame(docs, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        out, items, urls = [], [], []
+        for line in text.split("\n"):
+            item = re.sub(r"^[-*]\s+|^\d+\.\s+", "", line.strip())
+            url = re.search(r"https?://[^\s)\]]+", item)
+            if item and (item in items or url and url.group() in urls):
+                continue
+            out.append(line)
+            items.append(item)
+            if url:
+                urls.append(url.group())
+        return "\n".join(out)
+
+    got = {r.doc_id: (r.digest, r.n) for r in QUERIES["clean_dup_lines_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: (hashlib.sha1(brute(t).encode()).hexdigest(), len(brute(t))) for k, t in docs if t is not None}

@@ -51,6 +51,13 @@ def clean_dup_lines(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.sha1("t").alias("digest"), F.length("t").alias("n"))
 
 
+def clean_dup_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all documents, with the rule of addresses met before; no SQL."""
+    ship(spark)
+    t = spread(table(spark, d, "documents").where("text is not null")).select("doc_id", C.remove_duplicate_items(F.col("text")).alias("t"))
+    return t.select("doc_id", F.sha1("t").alias("digest"), F.length("t").alias("n"))
+
+
 def chunk_identity(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").where("chunk_text is not null and doc_id is not null").select("doc_id", "chunk_text").distinct()
     return c.select("doc_id", M.chunk_id(F.col("doc_id"), F.col("chunk_text")).alias("chunk_id")).distinct()
@@ -119,6 +126,7 @@ QUERIES = {
     "clean_normalize_ws": _text_query(C.normalize_ws),
     "clean_repeated_urls": clean_repeated_urls,
     "clean_dup_lines": clean_dup_lines,
+    "clean_dup_lines_all": clean_dup_lines_all,
     "clean_text_full": clean_text_full,
     "chunk_identity": chunk_identity,
     "doc_identity": doc_identity,

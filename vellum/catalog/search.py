@@ -64,6 +64,14 @@ def search_sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def search_sparse_models(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the vectors of all models, each question within its own model."""
+    rows = _sparse_rows(spark, d).where("model is not null").withColumn("sparse", F.transform_keys("sparse", lambda t, w: F.struct(F.col("model"), t)))
+    asked = rows.where(F.conv(F.right("chunk_id", F.lit(4)), 16, 10).cast("int") % STEP == 0)
+    r = S.search_sparse(rows, asked.select(F.struct("model", "chunk_id").alias("query_id"), F.col("sparse").alias("v")), "chunk_id", "sparse")
+    return r.select("query_id.model", F.col("query_id.chunk_id").alias("query_id"), F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
     return [_dense(spark, d), _fts(spark, d)]
 
@@ -177,6 +185,7 @@ QUERIES = {
     "search_fts_topk": search_fts_topk,
     "search_dense_topk": search_dense_topk,
     "search_sparse_topk": search_sparse_topk,
+    "search_sparse_models": search_sparse_models,
     "search_hybrid_rrf": search_hybrid_rrf,
     "search_semantic_rrf": search_semantic_rrf,
     "search_weighted": search_weighted,
@@ -279,6 +288,12 @@ e AS (SELECT chunk_id, unnest(map_keys(sparse)) AS t, unnest(map_values(sparse))
 scored AS (SELECT a.chunk_id AS query_id, b.chunk_id, sum(a.w::DOUBLE * b.w::DOUBLE) AS score FROM e a JOIN e b USING (t)
   WHERE CAST('0x' || right(a.chunk_id, 4) AS INT) % {STEP} = 0 GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_ranked('scored', 'chunk_id')}) WHERE rank <= 20""",
+    "search_sparse_models": f"""WITH one AS (SELECT DISTINCT chunk_id, model, sparse FROM embed_cache WHERE sparse IS NOT NULL AND model IS NOT NULL),
+e AS (SELECT chunk_id, model, unnest(map_keys(sparse)) AS t, unnest(map_values(sparse)) AS w FROM one),
+scored AS (SELECT a.model, a.chunk_id AS query_id, b.chunk_id, sum(a.w::DOUBLE * b.w::DOUBLE) AS score FROM e a JOIN e b ON a.t = b.t AND a.model = b.model
+  WHERE CAST('0x' || right(a.chunk_id, 4) AS INT) % {STEP} = 0 GROUP BY ALL)
+SELECT model, query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 20""",
     "search_hybrid_rrf": _fused(
         f"SELECT x.query_id, x.doc_id, 1.0::DOUBLE / (coalesce({_constant('q.text')}, 20) + x.rank) AS s FROM (SELECT query_id, doc_id, rank FROM v UNION ALL SELECT query_id, doc_id, rank FROM f) x LEFT JOIN q ON q.query_id = x.query_id"
     ).replace(f"coalesce({_constant('q.text')}, 20)", f"(CASE WHEN q.text IS NULL THEN 20 ELSE {_constant('q.text')} END)"),

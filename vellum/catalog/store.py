@@ -102,6 +102,13 @@ def token_weights_max(spark: SparkSession, d: str) -> DataFrame:
     return K.token_weights(rows).select("text_id", "token_id", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
+def token_weights_models(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the vectors of all models."""
+    e = table(spark, d, "embed_cache").where("sparse is not null and model is not null").select(F.struct("model", "chunk_id").alias("text_id"), F.explode("sparse").alias("token_id", "weight"))
+    rows = e.unionByName(e.withColumn("weight", F.col("weight") / 2)).unionByName(e.withColumn("token_id", F.lit(2)))
+    return K.token_weights(rows).select("text_id.model", F.col("text_id.chunk_id").alias("text_id"), "token_id", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", V.l2_normalize(F.transform("embedding", lambda x: x * 3)).alias("v"))
     return e.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(V.norm(F.col("v")), 6).alias("norm"))
@@ -119,7 +126,7 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (manifest_diff, ingest_order, removed_paths, upsert_merge, delete_by_filter, fetch_ids, document_join, cache_lookup, cache_misses, cache_reassemble, cache_stats, ingest_report, token_weights_max, l2_normalize, dimension_check, hash_embed)
+    for f in (manifest_diff, ingest_order, removed_paths, upsert_merge, delete_by_filter, fetch_ids, document_join, cache_lookup, cache_misses, cache_reassemble, cache_stats, ingest_report, token_weights_max, token_weights_models, l2_normalize, dimension_check, hash_embed)
 }
 
 _KNOWN = r"""
@@ -152,6 +159,8 @@ SELECT count(*) FILTER (status <> 'removed') AS scanned, count(*) FILTER (status
  (SELECT count(*) FROM t WHERE chunk_id IN {_CACHED}) AS cache_hits, (SELECT count(*) FROM t WHERE chunk_id NOT IN {_CACHED}) AS cache_misses FROM diff""",
     "token_weights_max": """WITH e AS (SELECT chunk_id, unnest(map_keys(sparse)) AS t, unnest(map_values(sparse)) AS w FROM embed_cache WHERE sparse IS NOT NULL AND model LIKE '%base%')
 SELECT chunk_id AS text_id, t AS token_id, round(max(w)::DOUBLE, 6) AS weight FROM e WHERE w > 0 AND t NOT IN (0, 1, 2, 3) GROUP BY chunk_id, t""",
+    "token_weights_models": """WITH e AS (SELECT model, chunk_id, unnest(map_keys(sparse)) AS t, unnest(map_values(sparse)) AS w FROM embed_cache WHERE sparse IS NOT NULL AND model IS NOT NULL)
+SELECT model, chunk_id AS text_id, t AS token_id, round(max(w)::DOUBLE, 6) AS weight FROM e WHERE w > 0 AND t NOT IN (0, 1, 2, 3) GROUP BY model, chunk_id, t""",
     "l2_normalize": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x * 3 AS DOUBLE)) AS v FROM embeddings)
 SELECT vec_id, round(v[1] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 6) AS first, 1.0 AS norm FROM v""",
     "dimension_check": "SELECT vec_id, CAST(len(embedding) AS INT) AS dims FROM embeddings",

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import brute_stats
 from vellum.llm import bpe, knn, language, leakage, markup, ocr_repair, rank_fusion, repetition, text_stats
 from vellum.llm.words import measured_words, plain_words
 
@@ -97,18 +98,45 @@ def test_page_number(line, want):
 # --- 2 ---------------------------------------------------------------------------------------
 
 
+def cut_up(text, size):
+    """Chunks of a text as the operator cuts it: up to the end of a word."""
+    return re.findall(rf"(?s).{{1,{size}}}\s*\S*", text) or [""]
+
+
 def test_partials_do_not_depend_on_cuts():
     rng = random.Random(3)
-    pieces = ["A casa de pedra. ", "bar\n", "12,5; ", "\n\n", "- item\n", "...... 4\n", "x" * 300, "É assim!\n", "\t|a|b|\n", "ok."]
-    for _ in range(40):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 120)))
-        want = text_stats._counts(text_stats.scan(text))
+    pieces = ["A casa de pedra. ", "bar\n", "12,5; ", "\n\n", "- item\n", "...... 4\n", "x" * 300, "É assim!\n", "\t|a|b|\n", "ok.", " ", "1. ", "😀", " a b c d e.", "\f", "(sim.) ", "O que se faz na casa. "]
+    tokens = text_stats.Tokens()
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    want = [brute_stats.counts(t) for t in texts]
+    assert text_stats.finish(text_stats.partials(texts, [True] * len(texts), tokens)).tolist() == want
+    for text, counts in zip(texts, want):
         for size in (1, 7, 50):
-            parts = [text_stats.partial(text[i : i + size]) for i in range(0, len(text), size)] or [("", None, "")]
+            chunks = cut_up(text, size)
+            parts = list(text_stats.partials(chunks, [i == 0 for i in range(len(chunks))], tokens))
+            assert "".join(chunks) == text and parts[0].nbytes == len(text_stats.STATE) * 8
             while len(parts) > 1:
                 k = rng.randrange(len(parts) - 1)
                 parts[k : k + 2] = [text_stats.join(parts[k], parts[k + 1])]
-            assert text_stats.finish(parts[0]) == want
+            assert text_stats.finish(parts[0][None])[0].tolist() == counts
+
+
+def test_huge_texts_without_a_sentence_end(spark):
+    """A table and an unbroken run of ten megabytes are counted as their pieces are; blanks of any kind may stand at a cut."""
+    table = "12;34,5;abc\u00a0de\n" * 20_000
+    rows = [(1, table), (2, "A" * 10_000_000), (3, "um\u2003dois\x1dtrês " * 9_000 + "fim.")]
+    got = {r.k: r for r in text_stats.text_stats(spark.createDataFrame(rows, "k int, t string"), ["k"], "t").collect()}
+    for k, text in rows[::2]:
+        want = dict(zip(brute_stats.COUNTS, brute_stats.counts(text)))
+        assert (got[k].n_chars, got[k].n_words, got[k].n_lines) == (want["chars"], want["words"], want["lines"])
+        assert got[k].alphanumeric_ratio == want["alnum"] / (want["chars"] - want["blank"]) and got[k].avg_line_length == want["line_chars"] / want["full_lines"]
+    assert (got[2].n_words, got[2].mean_word_length, got[2].alphanumeric_ratio) == (1, 10_000_000, 1.0)
+
+
+def test_common_words_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "zu ga zu ga bo.")], "k int, t string")
+    assert text_stats.text_stats(df, ["k"], "t").first().common_word_ratio == 0.4  # "zu" is German too
+    assert text_stats.text_stats(df, ["k"], "t", common=frozenset({"zu", "ga"})).first().common_word_ratio == 0.8
 
 
 def test_long_runs_are_counted_whole(spark):

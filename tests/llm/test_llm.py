@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute_stats
 from vellum.llm import bpe, knn, language, leakage, markup, ocr_repair, rank_fusion, repetition, text_stats
-from vellum.llm.words import measured_words, plain_words
+from vellum.llm.words import WordMemo, measured_words, plain_words
 
 # --- 1 ---------------------------------------------------------------------------------------
 
@@ -386,13 +386,52 @@ def test_leaks_against_brute_force(spark):
         elif kind == 2:  # a quotation
             words[10:10] = w[:12]
         docs.append((d, " ".join(words), "e"))
-    docs += [(99, None, "e"), (98, "", "e"), (1, docs[1][1], "e")]
+    docs += [(99, None, "e"), (98, "", "e"), (1, docs[1][1], "e"), (None, docs[1][1], "e"), (97, " ... ", "e")]
     a = spark.createDataFrame(docs, "doc_id int, text string, item_id string")
-    b = spark.createDataFrame(items, "item_id int, text string")
-    for block in (7, 2000):
-        got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(a, b, "doc_id", "text", "item_id", "text", block_items=block).collect()}
-        assert got == want
+    b = spark.createDataFrame(items + [(None, docs[0][1]), (92, "?!"), items[3]], "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(a, b, "doc_id", "text", "item_id", "text").collect()}
+    assert got == want
     assert leakage.find_leaks(a, b.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+    assert leakage.find_leaks(a.limit(0), b, "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_short_items_leak_whole(spark):
+    """Items of one to nine words and of ten, in a text, cut by one word, and with a word exchanged."""
+    items = [(n, " ".join(f"k{n}w{i}" for i in range(n))) for n in (1, 2, 4, 5, 9, 10, 11)]
+    docs = [(n * 10, f"before {t.upper()}, after") for n, t in items] + [(n * 10 + 1, "before " + " ".join(t.split()[1:]) + " x after") for n, t in items] + [(n * 10 + 2, "before " + t.replace(f"w{n // 2}", "wx") + " after") for n, t in items]
+    found = leakage.find_leaks(spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(items, "i int, t string"), "d", "t", "i", "t")
+    got = {(r.d, r.i) for r in found.collect()}
+    assert {(n * 10, n) for n, _ in items} <= got and {x for x in got if x[1] < 10} == {(n * 10, n) for n in (1, 2, 4, 5, 9)}
+
+
+def test_standing_phrase_is_no_leak_and_in_no_prefix(spark):
+    rng = random.Random(19)
+    phrase = "read the text below and then answer the question about it".split()
+    items = [(i, " ".join(phrase + [f"v{rng.randrange(400)}" for _ in range(70)])) for i in range(30)]
+    docs = [(d, " ".join([f"v{rng.randrange(400)}" for _ in range(50)] + phrase + [f"v{rng.randrange(400)}" for _ in range(50)])) for d in range(300)] + [(500 + i, "x y z " + " ".join(t.split()[20:70]) + " z") for i, t in items]
+    a, b = spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(items, "i int, t string")
+    assert {(r.d, r.i) for r in leakage.find_leaks(a, b, "d", "t", "i", "t").collect()} == {(500 + i, i) for i, _ in items}
+    grams = leakage.item_shingles(b.select("i", "t"), 0.5, 0.12)
+    everywhere = {r.h for r in grams.groupBy("h").count().where("count = 30").collect()}
+    seen = grams.groupBy("h").agg(F.count("*").alias("c"))  # a phrase as common in the corpus as in the items
+    prefix = {r.h for r in leakage.prefixes(grams, seen).collect()}
+    assert everywhere and not prefix & everywhere
+
+
+def test_passage_against_brute_force():
+    def lcs(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                rows[i][j] = rows[i + 1][j + 1] + 1 if a[i] == b[j] else max(rows[i + 1][j], rows[i][j + 1])
+        return rows[0][0]
+
+    rng = random.Random(23)
+    for _ in range(400):
+        a, b = [rng.choice("abcd") for _ in range(rng.randint(1, 14))], [rng.choice("abcde") for _ in range(rng.randint(0, 20))]
+        assert leakage._common(a, b).sum() == lcs(a, b)
+    long = [f"w{i % 5000}x{i // 5000}" for i in range(7_000)]
+    assert leakage.passage(long, ["q"] * 50 + long[:3_000] + ["q"] + long[3_001:] + ["q"] * 50) == (6_999, 7_000)
 
 
 # --- 10 --------------------------------------------------------------------------------------
@@ -437,3 +476,12 @@ def test_words():
     assert plain_words("É **o** João-Luís 1.5") == ["e", "o", "joao", "luis", "1", "5"]
     assert measured_words("É 12,5 kg/3") == ["é", "0", "kg", "0"]
     assert plain_words(None) == measured_words("") == []
+
+
+def test_word_memo_reads_the_same_words():
+    rng, number = random.Random(29), {}
+    memo = WordMemo(lambda w: number.setdefault(w, len(number)), limit=50)
+    for _ in range(3000):
+        t = "".join(rng.choice("aé²½™ªº ´¨ß\u0301_-'“…–A1\xad€\xa0ŉĳ·ſ\u2028\x1c") for _ in range(rng.randint(0, 12)))
+        assert memo.values(t).tolist() == [number[w] for w in plain_words(t)]
+    assert memo.values(None).tolist() == []

@@ -1,185 +1,306 @@
 """Evaluation texts leaking into training text (problem 9): prefix-filtered set join.
 
-Held-out items are cut into shingles of five words. An item that leaks must share at least ``need``
-shingles with the document; if its shingles are ordered by corpus rarity, one of the rarest
-``n - need + 1`` must be among the shared ones (prefix filter). Those prefixes form an inverted
-index. A document that meets a prefix shingle gathers all its shared shingles with that item, a
-window of item length must hold ``need`` of them (length and positional bound), and the window is
-verified word by word.
-
-The held-out side is the query set: it is taken in blocks of bounded size, each block's index goes
-to all workers, and the corpus is read once for the shingle counts and once for the search. Corpus
-rows never meet each other, nothing of the corpus is shuffled but counts of item shingles.
+Held-out items and documents are cut into shingles of five words, held as 64-bit hashes. The corpus is
+read once, for any number of items: a filter of fixed size, made of the items' shingles, lets pass the
+document shingles that an item may have, and only these, with the words around them, are written to
+the shared folder. All else is joins over that table:
+
+* rarity: in how many places of the corpus each shingle of an item stands;
+* prefix: a leak holds at least ``need`` shingles of an item, in at most ``runs`` runs. If the ``drop``
+  most common shingles of the item are left out, one of its runs still holds ``q`` of the remaining
+  ones in a row, where ``runs * (q - 1) < need - drop``; so of every ``q`` neighbouring ones only the
+  rarest is needed to find the leak. Each item takes the ``q`` whose shingles stand in the fewest
+  places of the corpus;
+* a place of the corpus that meets a prefix shingle of an item is a candidate; enough of their common
+  shingles must lie on one diagonal (length and positional bound);
+* the item-sized window there is compared word by word.
+
+Standing phrases that many items share are common, so rarity keeps them out of the prefixes, and no
+list of items or documents is gathered anywhere.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.words import plain_words
+from vellum.llm.words import WordMemo, plain_words
+from vellum.runtime import broadcast_if_small, cut
 
 SHINGLE = 5
-#: Items per block: bounds what is collected and broadcast (about 70 shingles an item).
-BLOCK_ITEMS = 2_000
+#: Items of fewer words leak only if a document holds them whole.
+WHOLE = 2 * SHINGLE
+#: Bits of the filter: 16 per shingle up to ``2 ** 27`` (16 MB), which is full at eight million
+#: shingles; beyond that more document shingles pass that no item has, and the joins drop them.
+FILTER_BITS = 27
+#: Words of an item compared with its window at a time.
+SLICE = 2_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def needed(n_words: int, share: float, replaced: float) -> tuple[int, int]:
-    """(words, shingles) a passage of at least ``share`` of the item must have in common with it,
-    if at most one word more than ``replaced`` of the passage was exchanged."""
+def needed(n_words: int, share: float, replaced: float) -> tuple[int, int, int]:
+    """(words, shingles, runs) that a passage holding at least ``share`` of the item's words has in
+    common with it, if at most one word more than ``replaced`` of the passage was exchanged: so many
+    words, and so many shingles in at most so many runs. Items of fewer than ``WHOLE`` words are held whole."""
+    if n_words < WHOLE:
+        return n_words, max(1, n_words - SHINGLE + 1), 1
     words = max(1, math.ceil(n_words * share))
-    swaps = math.ceil(words * replaced) + 1
-    return words, max(1, words - (SHINGLE - 1) * (swaps + 1))
-
-
-class ItemIndex:
-    """Shingles of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], share: float, replaced: float):
-        self.share, self.replaced = share, replaced
-        self.words = {i: w for i, t in items if len(w := plain_words(t)) >= 2 * SHINGLE}
-        self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for i, w in self.words.items():
-            for k in range(len(w) - SHINGLE + 1):
-                self.at[tuple(w[k : k + SHINGLE])].append((i, k))
-        self.vocabulary = {x for w in self.words.values() for x in w}
-        self.prefix: dict[tuple, set[int]] = {}
-
-    def order(self, seen: dict[str, int]) -> None:
-        """Keep, per item, the rarest shingles that a leak cannot avoid."""
-        self.prefix = defaultdict(set)
-        for i, w in self.words.items():
-            own = sorted({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)}, key=lambda s: (seen.get(" ".join(s), 0), s))
-            need = needed(len(w), self.share, self.replaced)[1]
-            for s in own[: max(1, len(own) - need + 1)]:
-                self.prefix[s].add(i)
-
-    def shared(self, words: list[str]) -> list[tuple[int, tuple]]:
-        """(position, shingle) of the document's shingles that any item has."""
-        known = [w in self.vocabulary for w in words]
-        out, run = [], 0
-        for k, ok in enumerate(known):
-            run = run + 1 if ok else 0
-            if run >= SHINGLE:
-                s = tuple(words[k - SHINGLE + 1 : k + 1])
-                if s in self.at:
-                    out.append((k - SHINGLE + 1, s))
+    runs = math.ceil(words * replaced) + 2
+    return words, max(1, words - (SHINGLE - 1) * runs), runs
+
+
+def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, from hashes of words."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.full(len(h) - size + 1, np.uint64(size), np.uint64)
+        for k in range(size):
+            out = (out ^ h[k : len(h) - size + 1 + k]) * _MIX
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+class Filter:
+    """Set of shingle hashes with false positives only: two bits of each."""
+
+    def __init__(self, log2: int, at: np.ndarray, bits: np.ndarray):
+        self.mask = np.uint64((1 << log2) - 1)
+        self.words = np.zeros(max(1, (1 << log2) >> 6), np.uint64)
+        self.words[at] = bits
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for bit in (h & self.mask, (h >> np.uint64(32)) & self.mask):
+            out &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
         return out
 
-    def leaks(self, words: list[str]) -> list[tuple[int, float]]:
-        """(item, share of its words held) for every item that leaks into the document."""
-        shared = self.shared(words)
-        candidates = {i for _, s in shared for i in self.prefix.get(s, ())}
-        if not candidates:
-            return []
-        starts: dict[int, list[int]] = defaultdict(list)
-        for k, s in shared:
-            for i, p in self.at[s]:
-                if i in candidates:
-                    starts[i].append(k - p)
-        out = []
-        for i, offsets in starts.items():
-            best = self._verify(i, words, sorted(offsets))
-            if best:
-                out.append((i, best))
-        return sorted(out)
-
-    def _verify(self, i: int, words: list[str], offsets: list[int]) -> float:
-        item = self.words[i]
-        n = len(item)
-        need_words, need = needed(n, self.share, self.replaced)
-        slack = max(4, n // 6)
-        best, lo, k = 0.0, 0, 0
-        while lo < len(offsets):
-            hi = lo
-            while hi + 1 < len(offsets) and offsets[hi + 1] - offsets[lo] <= 2 * slack:
-                hi += 1
-            # Positional bound: shingles on one diagonal, give or take the slack.
-            if hi - lo + 1 >= need:
-                mid = offsets[(lo + hi) // 2]
-                matched, span = passage(item, words[max(0, mid - 2 * slack) : max(0, mid + n + 2 * slack)])
-                if matched >= need_words and matched >= 0.75 * span:
-                    best = max(best, matched / n)
-            k = hi
-            lo = k + 1 if hi - lo + 1 >= need else lo + 1
-        return best
+
+def make_filter(grams: DataFrame, n: int) -> Filter:
+    """Filter of the column ``h``; the driver receives its bits (at most ``2 ** FILTER_BITS``)."""
+    log2 = min(FILTER_BITS, max(10, math.ceil(math.log2(16 * max(1, n)))))
+    mask = F.lit((1 << log2) - 1)
+    bit: Column = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+    set_bits = grams.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("bits")).toPandas()
+    return Filter(log2, set_bits["w"].to_numpy(np.int64), set_bits["bits"].to_numpy(np.int64).view(np.uint64))
+
+
+def item_shingles(items: DataFrame, share: float, replaced: float) -> DataFrame:
+    """``(i, t, n, need, runs, size, p, h)``: the shingles of ``(i, t)``. Items of fewer than five words are
+    one shingle of their own ``size``; those without a word give nothing."""
+    kind = dict(items.dtypes)["i"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordMemo(_hash)
+        for pdf in batches:
+            for i, t in zip(pdf["i"], pdf["t"]):
+                words, h = plain_words(t), memo.values(t)
+                if words:
+                    size = min(SHINGLE, len(words))
+                    g = shingles(h, size).view(np.int64)
+                    _, need, runs = needed(len(words), share, replaced)
+                    yield pd.DataFrame({"i": i, "t": t, "n": len(words), "need": need, "runs": runs, "size": size, "p": np.arange(len(g)), "h": g})
+
+    return items.mapInPandas(work, f"i {kind}, t string, n int, need int, runs int, size int, p int, h bigint")
+
+
+def meeting_places(corpus: DataFrame, known: Filter, sizes: list[int], reach: int) -> DataFrame:
+    """``(d, s, words, pos, h)`` from ``(d, t)``: the stretches of each text around shingles that pass
+    the filter, at least ``reach`` words on both sides, with the places of these shingles in them.
+    ``s`` tells apart the stretches of all rows."""
+    kind = dict(corpus.dtypes)["d"]
+    held = corpus.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo, known = WordMemo(_hash), held.value
+        for pdf in batches:
+            out = []
+            for d, t in zip(pdf["d"], pdf["t"]):
+                w = memo.values(t)
+                pos, hs = [], []
+                for size in sizes:
+                    h = shingles(w, size)
+                    at = np.flatnonzero(known.has(h))
+                    pos.append(at)
+                    hs.append(h[at])
+                pos, hs = np.concatenate(pos), np.concatenate(hs).view(np.int64)
+                if not len(pos):
+                    continue
+                words = plain_words(t)
+                order = np.argsort(pos, kind="stable")
+                pos, hs = pos[order], hs[order]
+                for a, e in zip(*_groups(pos, reach)):
+                    lo = max(0, int(pos[a]) - reach)
+                    out.append((d, " ".join(words[lo : int(pos[e - 1]) + SHINGLE + reach]), (pos[a:e] - lo).tolist(), hs[a:e].tolist()))
+            if out:
+                yield pd.DataFrame(out, columns=["d", "words", "pos", "h"])
+
+    found = corpus.mapInPandas(work, f"d {kind}, words string, pos array<int>, h array<bigint>")
+    return found.withColumn("s", F.xxhash64("words", "pos"))
+
+
+def _groups(pos: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
+    """Bounds of the groups of sorted places that lie at most ``reach`` apart."""
+    gaps = np.flatnonzero(np.diff(pos) > reach) + 1
+    return [0, *gaps.tolist()], [*gaps.tolist(), len(pos)]
+
+
+def rarest(have: list[tuple[int, int]], need: int, runs: int) -> set[int]:
+    """Hashes of the prefix of an item with shingles ``(places in the corpus, hash)`` in order."""
+    hot = sorted(range(len(have)), key=lambda p: have[p], reverse=True)
+    best: tuple[int, set] | None = None
+    for q in range(1, (need - 1) // runs + 2):
+        dropped = set(hot[: need - runs * (q - 1) - 1])
+        rest = [x for p, x in enumerate(have) if p not in dropped]
+        chosen = {min(rest[a : a + q]) for a in range(max(1, len(rest) - q + 1))} if rest else set()
+        cost = sum(c for c, _ in chosen)
+        if best is None or cost < best[0]:
+            best = cost, chosen
+    return {h for c, h in best[1] if c}  # those the corpus does not have find nothing
+
+
+def prefixes(grams: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(h, i)``: the shingles by which an item's leaks are found, by ``seen (h, c)``. An item is the
+    unit of work."""
+    kind = dict(grams.dtypes)["i"]
+    place = F.struct("p", F.coalesce("c", F.lit(0)).cast("bigint").alias("c"), "h")
+    ranked = grams.join(seen, "h", "left").groupBy("i", "t", "need", "runs").agg(F.sort_array(F.collect_list(place)).alias("x"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(h, i) for i, need, runs, x in zip(pdf["i"], pdf["need"], pdf["runs"], pdf["x"]) for h in rarest([(r["c"], r["h"]) for r in x], need, runs)]
+            if out:
+                yield pd.DataFrame(out, columns=["h", "i"])
+
+    return ranked.select("i", "need", "runs", "x").mapInPandas(work, f"h bigint, i {kind}").distinct()
 
 
 def passage(item: list[str], window: list[str]) -> tuple[int, int]:
     """(matched words, length in words) of the densest stretch of the item found, in order, in the
-    window: longest common subsequence, then the stretch of largest matches minus twice the gaps."""
+    window: longest common subsequence, then the stretch of largest matches minus twice the gaps.
+
+    Items of more than ``SLICE`` words are compared slice by slice with the part of the window where
+    the slice can lie."""
+    n, m = len(item), len(window)
+    hit = np.zeros(n, bool)
+    over = max(0, m - n)
+    for a in range(0, n, SLICE):
+        part = item[a : a + SLICE]
+        lo, hi = (0, m) if n <= SLICE else (max(0, a - over), min(m, a + SLICE + 2 * over))
+        hit[a : a + SLICE] = _common(part, window[lo:hi])
+    best, result, current, start, matched = 0, (0, 0), 0, 0, 0
+    for x, h in enumerate(hit.tolist()):
+        if current <= 0:
+            current, start, matched = 0, x, 0
+        current += 1 if h else -2
+        matched += h
+        if current > best:
+            best, result = current, (matched, x + 1 - start)
+    return result
+
+
+def _common(item: list[str], window: list[str]) -> np.ndarray:
+    """Which words of ``item`` are in a longest common subsequence with ``window``, earliest first."""
     n, m = len(item), len(window)
-    rows = [[0] * (m + 1)]
+    ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
+    x, y = np.array([ids[w] for w in item]), np.array([ids.get(w, -1) for w in window], np.int64)
+    rows = np.zeros((n + 1, m + 1), np.int32)
     for a in range(n - 1, -1, -1):
-        below, row, x = rows[-1], [0] * (m + 1), item[a]
-        for b in range(m - 1, -1, -1):
-            row[b] = below[b + 1] + 1 if x == window[b] else (below[b] if below[b] >= row[b + 1] else row[b + 1])
-        rows.append(row)
-    rows.reverse()
-    hit, a, b = [0] * n, 0, 0
+        below = rows[a + 1]
+        step = np.maximum(below[:-1], below[1:] + (y == x[a]))
+        rows[a, :-1] = np.maximum.accumulate(step[::-1])[::-1]
+    hit, a, b = np.zeros(n, bool), 0, 0
     while a < n and b < m:
-        if item[a] == window[b]:
-            hit[a] = 1
-            a += 1
-            b += 1
-        elif rows[a + 1][b] >= rows[a][b + 1]:
+        if x[a] == y[b]:
+            hit[a] = True
+            a, b = a + 1, b + 1
+        elif rows[a + 1, b] >= rows[a, b + 1]:
             a += 1
         else:
             b += 1
-    best, result, current, start = 0, (0, 0), 0, 0
-    for x, h in enumerate(hit):
-        if current <= 0:
-            current, start = 0, x
-        current += 1 if h else -2
-        if current > best:
-            best, result = current, (sum(hit[start : x + 1]), x + 1 - start)
-    return result
+    return hit
+
+
+def held_share(item: list[str], words: list[str], offsets: list[int], share: float, replaced: float) -> float:
+    """Share of the item's words held by a passage of ``words``, 0 if it is no leak. ``offsets``: the
+    differences of the places of common shingles in the words and in the item."""
+    n = len(item)
+    if n < WHOLE:
+        return float(any(words[o : o + n] == item for o in set(offsets) if o >= 0))
+    need_words, need, _ = needed(n, share, replaced)
+    slack = max(4, n // 6)
+    offsets = sorted(offsets)
+    best, lo = 0.0, 0
+    while lo < len(offsets):
+        hi = lo
+        while hi + 1 < len(offsets) and offsets[hi + 1] - offsets[lo] <= 2 * slack:
+            hi += 1
+        # Positional bound: shingles on one diagonal, give or take the slack.
+        if hi - lo + 1 < need:
+            lo += 1
+            continue
+        mid = offsets[(lo + hi) // 2]
+        matched, span = passage(item, words[max(0, mid - 2 * slack) : max(0, mid + n + 2 * slack)])
+        if matched >= need_words and matched >= 0.75 * span:
+            best = max(best, matched / n)
+        lo = hi + 1
+    return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, share: float = 0.5, replaced: float = 0.12, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, share: float = 0.5, replaced: float = 0.12) -> DataFrame:
     """``(doc_id, item_id, held)``: documents holding at least ``share`` of an item's words as one
     passage, in which letter case, accents, punctuation, spacing, emphasis and a few words differ.
 
-    Null or empty texts and items of under ten words give nothing; repeated rows give one; other
-    columns are ignored. The items are collected block by block (``block_items``), the documents
-    never are.
+    Items of fewer than ten words must stand in the document whole and in order. Null ids, null texts
+    and texts without a word give nothing; repeated rows give one; rows that share an id are texts of
+    one item or document; other columns are ignored.
     """
-    spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     side = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
-    blocks = max(1, math.ceil(side.count() / block_items))
+    grams = cut(item_shingles(side, share, replaced))
+    size = grams.agg(F.count("*").alias("n"), F.max("n").alias("longest"), F.collect_set("size").alias("sizes")).first()
     corpus = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
-    found = []
-    for b in range(blocks):
-        rows = [(r.i, r.t) for r in side.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        index = ItemIndex(rows, share, replaced)
-        held = spark.sparkContext.broadcast(index)
-
-        def count(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ix = held.value
-            c: Counter = Counter()
-            for pdf in batches:
-                for t in pdf["t"]:
-                    c.update({s for _, s in ix.shared(plain_words(t))})
-            if c:
-                yield pd.DataFrame({"s": [" ".join(s) for s in c], "n": list(c.values())})
-
-        seen = corpus.select("t").mapInPandas(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-        index.order({r.s: r.n for r in seen.collect()})  # at most one row per shingle of the block
-        ready = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
-            ix = ready.value
-            for pdf in batches:
-                out = [(d, i, x) for d, t in zip(pdf["d"], pdf["t"]) for i, x in ix.leaks(plain_words(t))]
-                if out:
-                    yield pd.DataFrame(out, columns=["d", "i", "held"])
-
-        found.append(corpus.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}, held double"))
-    out = reduce(DataFrame.unionByName, found)
-    return out.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(F.max("held").alias("held"))
+    reach = (size.longest or 1) + 2 * max(4, (size.longest or 1) // 6)
+    places = cut(meeting_places(corpus, make_filter(grams, size.n), sorted(size.sizes) or [SHINGLE], reach))
+    each = places.select("d", "s", F.explode("h").alias("h"))
+    keys = grams.select("h").distinct()
+    met = each.join(broadcast_if_small(keys, size.n), "h", "left_semi")
+    seen = met.groupBy("h").agg(F.count("*").alias("c"))
+    prefix = cut(prefixes(grams, seen))
+    candidates = met.join(broadcast_if_small(prefix, prefix.count()), "h").select("d", "s", "i").distinct()
+    texts = side.select("i", "t")
+    pairs = places.join(candidates, ["d", "s"]).join(broadcast_if_small(texts, size.n), "i").select("d", "i", "t", "words", "pos", "h")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordMemo(_hash)
+        known: dict[str, tuple[list[str], dict[int, list[int]]]] = {}
+        for pdf in batches:
+            out = []
+            for d, i, t, text, pos, hs in zip(pdf["d"], pdf["i"], pdf["t"], pdf["words"], pdf["pos"], pdf["h"]):
+                if t not in known:
+                    if len(known) > 5_000:
+                        known.clear()
+                    words, at = plain_words(t), defaultdict(list)
+                    for p, h in enumerate(shingles(memo.values(t), min(SHINGLE, len(words))).view(np.int64).tolist()):
+                        at[h].append(p)
+                    known[t] = words, at
+                item, at = known[t]
+                offsets = [k - p for k, h in zip(pos.tolist(), hs.tolist()) if h in at for p in at[h]]
+                x = held_share(item, text.split(" "), offsets, share, replaced)
+                if x:
+                    out.append((d, i, x))
+            if out:
+                yield pd.DataFrame(out, columns=["d", "i", "held"])
+
+    found = pairs.mapInPandas(verify, f"d {kinds[0]}, i {kinds[1]}, held double")
+    return found.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(F.max("held").alias("held"))

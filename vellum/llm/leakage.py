@@ -22,7 +22,7 @@ list of items or documents is gathered anywhere.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.words import WordMemo, plain_words
+from vellum.llm.words import WordMemo
 from vellum.runtime import broadcast_if_small, cut
 
 SHINGLE = 5
@@ -55,6 +55,11 @@ def needed(n_words: int, share: float, replaced: float) -> tuple[int, int, int]:
     return words, max(1, words - (SHINGLE - 1) * runs), runs
 
 
+def slack(n_words: int) -> int:
+    """How far a passage may be shifted against the item by words put in or left out."""
+    return max(4, n_words // 6)
+
+
 def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of all runs of ``size`` words, from hashes of words."""
     if len(h) < size:
@@ -96,54 +101,59 @@ def make_filter(grams: DataFrame, n: int) -> Filter:
 
 
 def item_shingles(items: DataFrame, share: float, replaced: float) -> DataFrame:
-    """``(i, t, n, need, runs, size, p, h)``: the shingles of ``(i, t)``. Items of fewer than five words are
+    """``(u, n, need, runs, size, p, h)``: the shingles of ``(u, t)``. Items of fewer than five words are
     one shingle of their own ``size``; those without a word give nothing."""
-    kind = dict(items.dtypes)["i"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordMemo(_hash)
         for pdf in batches:
-            for i, t in zip(pdf["i"], pdf["t"]):
-                words, h = plain_words(t), memo.values(t)
-                if words:
-                    size = min(SHINGLE, len(words))
+            for u, t in zip(pdf["u"], pdf["t"]):
+                h, (n,) = memo.values([t])
+                if n:
+                    size = min(SHINGLE, n)
                     g = shingles(h, size).view(np.int64)
-                    _, need, runs = needed(len(words), share, replaced)
-                    yield pd.DataFrame({"i": i, "t": t, "n": len(words), "need": need, "runs": runs, "size": size, "p": np.arange(len(g)), "h": g})
+                    _, need, runs = needed(n, share, replaced)
+                    yield pd.DataFrame({"u": u, "n": n, "need": need, "runs": runs, "size": size, "p": np.arange(len(g)), "h": g})
 
-    return items.mapInPandas(work, f"i {kind}, t string, n int, need int, runs int, size int, p int, h bigint")
+    return items.mapInPandas(work, "u bigint, n int, need int, runs int, size int, p int, h bigint")
 
 
-def meeting_places(corpus: DataFrame, known: Filter, sizes: list[int], reach: int) -> DataFrame:
+def meeting_places(corpus: DataFrame, known: Filter, sizes_of: list[int], reach: int) -> DataFrame:
     """``(d, s, words, pos, h)`` from ``(d, t)``: the stretches of each text around shingles that pass
     the filter, at least ``reach`` words on both sides, with the places of these shingles in them.
     ``s`` tells apart the stretches of all rows."""
     kind = dict(corpus.dtypes)["d"]
     held = corpus.sparkSession.sparkContext.broadcast(known)
 
+    def some(ids: list, texts: list[str], memo: WordMemo) -> pd.DataFrame:
+        w, sizes = memo.values(texts)
+        end = np.cumsum(sizes)
+        pos, hs = [], []
+        for size in sizes_of:
+            h = shingles(w, size)
+            at = np.flatnonzero(held.value.has(h))
+            at = at[at + size <= end[np.searchsorted(end, at, "right")]]  # within one text
+            pos.append(at)
+            hs.append(h[at])
+        pos, hs = np.concatenate(pos), np.concatenate(hs).view(np.int64)
+        order = np.argsort(pos, kind="stable")
+        pos, hs, out = pos[order], hs[order], []
+        own = np.searchsorted(end, pos, "right")
+        for k, a, e in zip(*np.unique(own, return_index=True), [*(np.flatnonzero(np.diff(own)) + 1), len(own)]):
+            words, first = memo.words(texts[k]), end[k] - sizes[k]
+            at = pos[a:e] - first
+            for x, y in zip(*_groups(at, reach)):
+                lo = max(0, int(at[x]) - reach)
+                out.append((ids[k], " ".join(words[lo : int(at[y - 1]) + SHINGLE + reach]), (at[x:y] - lo).tolist(), hs[a:e][x:y].tolist()))
+        return pd.DataFrame(out, columns=["d", "words", "pos", "h"])
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, known = WordMemo(_hash), held.value
+        memo = WordMemo(_hash)
         for pdf in batches:
-            out = []
-            for d, t in zip(pdf["d"], pdf["t"]):
-                w = memo.values(t)
-                pos, hs = [], []
-                for size in sizes:
-                    h = shingles(w, size)
-                    at = np.flatnonzero(known.has(h))
-                    pos.append(at)
-                    hs.append(h[at])
-                pos, hs = np.concatenate(pos), np.concatenate(hs).view(np.int64)
-                if not len(pos):
-                    continue
-                words = plain_words(t)
-                order = np.argsort(pos, kind="stable")
-                pos, hs = pos[order], hs[order]
-                for a, e in zip(*_groups(pos, reach)):
-                    lo = max(0, int(pos[a]) - reach)
-                    out.append((d, " ".join(words[lo : int(pos[e - 1]) + SHINGLE + reach]), (pos[a:e] - lo).tolist(), hs[a:e].tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=["d", "words", "pos", "h"])
+            ids, texts = pdf["d"].tolist(), pdf["t"].tolist()
+            for a in range(0, len(pdf), 500):
+                if len(out := some(ids[a : a + 500], texts[a : a + 500], memo)):
+                    yield out
 
     found = corpus.mapInPandas(work, f"d {kind}, words string, pos array<int>, h array<bigint>")
     return found.withColumn("s", F.xxhash64("words", "pos"))
@@ -170,19 +180,18 @@ def rarest(have: list[tuple[int, int]], need: int, runs: int) -> set[int]:
 
 
 def prefixes(grams: DataFrame, seen: DataFrame) -> DataFrame:
-    """``(h, i)``: the shingles by which an item's leaks are found, by ``seen (h, c)``. An item is the
+    """``(h, u)``: the shingles by which an item's leaks are found, by ``seen (h, c)``. An item is the
     unit of work."""
-    kind = dict(grams.dtypes)["i"]
     place = F.struct("p", F.coalesce("c", F.lit(0)).cast("bigint").alias("c"), "h")
-    ranked = grams.join(seen, "h", "left").groupBy("i", "t", "need", "runs").agg(F.sort_array(F.collect_list(place)).alias("x"))
+    ranked = grams.join(seen, "h", "left").groupBy("u", "need", "runs").agg(F.sort_array(F.collect_list(place)).alias("x"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(h, i) for i, need, runs, x in zip(pdf["i"], pdf["need"], pdf["runs"], pdf["x"]) for h in rarest([(r["c"], r["h"]) for r in x], need, runs)]
+            out = [(h, u) for u, need, runs, x in zip(pdf["u"], pdf["need"], pdf["runs"], pdf["x"]) for h in rarest([(r["c"], r["h"]) for r in x], need, runs)]
             if out:
-                yield pd.DataFrame(out, columns=["h", "i"])
+                yield pd.DataFrame(out, columns=["h", "u"])
 
-    return ranked.select("i", "need", "runs", "x").mapInPandas(work, f"h bigint, i {kind}").distinct()
+    return ranked.mapInPandas(work, "h bigint, u bigint")
 
 
 def passage(item: list[str], window: list[str]) -> tuple[int, int]:
@@ -238,19 +247,22 @@ def held_share(item: list[str], words: list[str], offsets: list[int], share: flo
     if n < WHOLE:
         return float(any(words[o : o + n] == item for o in set(offsets) if o >= 0))
     need_words, need, _ = needed(n, share, replaced)
-    slack = max(4, n // 6)
+    wide = slack(n)
+    have = Counter(item)
     offsets = sorted(offsets)
     best, lo = 0.0, 0
     while lo < len(offsets):
         hi = lo
-        while hi + 1 < len(offsets) and offsets[hi + 1] - offsets[lo] <= 2 * slack:
+        while hi + 1 < len(offsets) and offsets[hi + 1] - offsets[lo] <= 2 * wide:
             hi += 1
         # Positional bound: shingles on one diagonal, give or take the slack.
         if hi - lo + 1 < need:
             lo += 1
             continue
         mid = offsets[(lo + hi) // 2]
-        matched, span = passage(item, words[max(0, mid - 2 * slack) : max(0, mid + n + 2 * slack)])
+        window = words[max(0, mid - 2 * wide) : max(0, mid + n + 2 * wide)]
+        # No more words match in order than in any order.
+        matched, span = passage(item, window) if (have & Counter(window)).total() >= need_words else (0, 0)
         if matched >= need_words and matched >= 0.75 * span:
             best = max(best, matched / n)
         lo = hi + 1
@@ -267,37 +279,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     """
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     side = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
-    grams = cut(item_shingles(side, share, replaced))
+    side = side.withColumn("u", F.xxhash64("i", "t"))
+    grams = cut(item_shingles(side.select("u", "t"), share, replaced))
     size = grams.agg(F.count("*").alias("n"), F.max("n").alias("longest"), F.collect_set("size").alias("sizes")).first()
     corpus = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
-    reach = (size.longest or 1) + 2 * max(4, (size.longest or 1) // 6)
+    reach = (size.longest or 1) + 4 * slack(size.longest or 1)
     places = cut(meeting_places(corpus, make_filter(grams, size.n), sorted(size.sizes) or [SHINGLE], reach))
-    each = places.select("d", "s", F.explode("h").alias("h"))
-    keys = grams.select("h").distinct()
-    met = each.join(broadcast_if_small(keys, size.n), "h", "left_semi")
-    seen = met.groupBy("h").agg(F.count("*").alias("c"))
-    prefix = cut(prefixes(grams, seen))
-    candidates = met.join(broadcast_if_small(prefix, prefix.count()), "h").select("d", "s", "i").distinct()
-    texts = side.select("i", "t")
-    pairs = places.join(candidates, ["d", "s"]).join(broadcast_if_small(texts, size.n), "i").select("d", "i", "t", "words", "pos", "h")
+    each = places.select("d", "s", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("d", "s", "x.pos", "x.h")
+    met = each.join(broadcast_if_small(grams.select("h").distinct(), size.n), "h", "left_semi")
+    prefix = cut(prefixes(grams, met.groupBy("h").agg(F.count("*").alias("c"))))
+    candidates = met.join(broadcast_if_small(prefix, prefix.count()), "h").select("d", "s", "u").distinct()
+    common = candidates.join(met, ["d", "s"]).join(broadcast_if_small(grams.select("u", "h", "p", "n", "need"), size.n), ["u", "h"])
+    lines = common.groupBy("d", "s", "u", "n", "need").agg(F.sort_array(F.collect_list(F.col("pos") - F.col("p"))).alias("offsets"))
+    # Positional bound: enough shingles on one diagonal, give or take the slack.
+    near = "exists(sequence(0, size(offsets) - need), k -> offsets[k + need - 1] - offsets[k] <= 2 * greatest(4, n div 6))"
+    close = cut(lines.where("size(offsets) >= need").where(near).select("d", "s", "u", "offsets"))
+    found_in = places.select("d", "s", "words").join(broadcast_if_small(close, close.count()), ["d", "s"])
+    pairs = found_in.join(broadcast_if_small(side, side.count()), "u").select("d", "i", "t", "words", "offsets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordMemo(_hash)
-        known: dict[str, tuple[list[str], dict[int, list[int]]]] = {}
         for pdf in batches:
             out = []
-            for d, i, t, text, pos, hs in zip(pdf["d"], pdf["i"], pdf["t"], pdf["words"], pdf["pos"], pdf["h"]):
-                if t not in known:
-                    if len(known) > 5_000:
-                        known.clear()
-                    words, at = plain_words(t), defaultdict(list)
-                    for p, h in enumerate(shingles(memo.values(t), min(SHINGLE, len(words))).view(np.int64).tolist()):
-                        at[h].append(p)
-                    known[t] = words, at
-                item, at = known[t]
-                offsets = [k - p for k, h in zip(pos.tolist(), hs.tolist()) if h in at for p in at[h]]
-                x = held_share(item, text.split(" "), offsets, share, replaced)
-                if x:
+            for d, i, t, words, offsets in zip(pdf["d"], pdf["i"], pdf["t"], pdf["words"], pdf["offsets"]):
+                if x := held_share(memo.words(t), words.split(" "), offsets.tolist(), share, replaced):
                     out.append((d, i, x))
             if out:
                 yield pd.DataFrame(out, columns=["d", "i", "held"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -27,12 +26,11 @@ class WordMemo:
 
     def __init__(self, number: Callable[[str], int], limit: int = 500_000):
         self.number, self.limit = number, limit
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[tuple[str, ...], tuple[int, ...]]] = {}
 
-    def values(self, text: str | None) -> np.ndarray:
-        """The numbers of the text's words in order."""
+    def _runs(self, text: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...]]]:
         if not text:
-            return np.zeros(0, np.uint64)
+            return []
         if len(self.known) > self.limit:
             self.known.clear()
         runs, get = text.split(), self.known.get
@@ -40,11 +38,25 @@ class WordMemo:
         if None in got:
             for k, x in enumerate(got):
                 if x is None:
-                    x = tuple(map(self.number, plain_words(runs[k])))
+                    words = tuple(plain_words(runs[k]))
+                    x = got[k] = words, tuple(map(self.number, words))
                     if len(runs[k]) <= 64:
                         self.known[runs[k]] = x
-                    got[k] = x
-        return np.fromiter(chain.from_iterable(got), np.uint64)
+        return got
+
+    def words(self, text: str | None) -> list[str]:
+        """The same list as :func:`plain_words`."""
+        return [w for words, _ in self._runs(text) for w in words]
+
+    def values(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' words in order, and how many each text has."""
+        numbers, sizes = [], []
+        for t in texts:
+            before = len(numbers)
+            for _, x in self._runs(t):
+                numbers += x
+            sizes.append(len(numbers) - before)
+        return np.array(numbers, np.uint64), np.array(sizes, np.int64)
 
 
 def measured_words(text: str | None) -> list[str]:

@@ -56,10 +56,17 @@ def _joined(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+", " "), rf"(?<=\p{{L}})[{_HYPHENS}][ \t]*\r?\n\s*(?=\p{{L}})", "")
 
 
-def words_of(t: Column) -> Column:
-    """Words of a text with at least three letters, mostly letters; no closing ``!`` or ``|``."""
-    found = F.transform(F.regexp_extract_all(_joined(t), F.lit(f"({WORD})"), F.lit(1)), lambda w: F.regexp_replace(w, r"[!|(]+$", ""))
-    return F.filter(found, lambda w: (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 3) & (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) * 2 > F.length(w)))
+def raw_words(t: Column) -> Column:
+    """Written forms of a text's words, hyphened compounds whole."""
+    return F.regexp_extract_all(_joined(t), F.lit(f"({WORD}(?:-{WORD})*)"), F.lit(1))
+
+
+def plain_form(o: Column) -> Column:
+    """A written form without closing ``!`` or ``|``; null unless it has at least three letters and is
+    mostly letters. Meant for distinct forms, not for every word of the corpus."""
+    w = F.regexp_replace(o, r"[!|(]+$", "")
+    letters = F.length(F.regexp_replace(w, r"[^\p{L}]", ""))
+    return F.when((letters >= 3) & (letters * 2 > F.length(w)), w)
 
 
 def anagram_hash(w: Column) -> Column:
@@ -77,11 +84,28 @@ def _hash(s: str) -> int:
     return sum(pow(ord(c), 5, _P) for c in s)
 
 
-def vocabulary(texts: DataFrame, text: str) -> DataFrame:
-    """``(w, n, capital, n_rows)``: counts of lower-cased words and how many began with a capital only,
-    over distinct texts, and counts over all rows; combined map-side."""
-    words = texts.groupBy(text).agg(F.count("*").alias("copies")).select("copies", F.explode(words_of(F.col(text))).alias("o"))
-    return words.groupBy(F.lower("o").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("o").rlike(r"^\p{Lu}.*\p{Ll}")).alias("capital"), F.sum("copies").alias("n_rows"))
+def prepared(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct ``(keys..., text)`` and ``h``, the hash of the text."""
+    return texts.select(*keys, "text").distinct().withColumn("h", F.xxhash64("text"))
+
+
+def written_forms(rows: DataFrame) -> DataFrame:
+    """``(o, n, n_rows)``: how often each written form stands in distinct texts and in all rows of
+    :func:`prepared`; combined map-side."""
+    once = rows.where("text is not null").groupBy("text").agg(F.count("*").alias("copies"))
+    return once.select("copies", F.explode(raw_words(F.col("text"))).alias("o")).groupBy("o").agg(F.count("*").alias("n"), F.sum("copies").alias("n_rows"))
+
+
+def _parts(forms: DataFrame, *columns: str) -> DataFrame:
+    """Written forms by the parts of compounds, ``p`` being the plain form of each."""
+    return forms.select("o", *columns, F.explode(F.split("o", "-")).alias("p")).withColumn("p", plain_form(F.col("p"))).where("p is not null")
+
+
+def vocabulary(forms: DataFrame) -> DataFrame:
+    """``(w, n, capital, n_rows)`` from :func:`written_forms`: counts of lower-cased words and how many
+    began with a capital only, over distinct texts, and counts over all rows."""
+    capital = F.when(F.col("p").rlike(r"^\p{Lu}.*\p{Ll}"), F.col("n")).otherwise(0)
+    return _parts(forms, "n", "n_rows").groupBy(F.lower("p").alias("w")).agg(F.sum("n").alias("n"), F.sum(capital).alias("capital"), F.sum("n_rows").alias("n_rows"))
 
 
 def frequent_floor(vocab: DataFrame, share: float = FREQUENT_SHARE, least: int = FREQUENT_LEAST) -> int:
@@ -112,13 +136,15 @@ def corrections(vocab: DataFrame, floor: int, ratio: int = RATIO) -> DataFrame:
     return met.groupBy("w").agg(F.max(F.struct("m", "fix")).alias("b"), F.first("n").alias("n")).select("w", F.col("b.fix").alias("fix"), "n")
 
 
-_SUSPECT = "|".join(re.escape(a) for a, _ in CONFUSIONS)
+def written_fixes(forms: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``(o, w, fix)``: the corrections by written form."""
+    return _parts(forms).select("o", F.lower("p").alias("w")).distinct().join(fixes.select("w", "fix"), "w")
 
 
-def misread_words(texts: DataFrame, keys: list[str], text: str, fixes: DataFrame, n_fixes: int) -> DataFrame:
+def misread_words(rows: DataFrame, keys: list[str], by_form: DataFrame, n_forms: int) -> DataFrame:
     """``(keys..., w, fix)``: the corrections that occur in each text, each once."""
-    words = texts.select(*keys, F.explode(F.array_distinct(F.filter(F.transform(words_of(F.col(text)), F.lower), lambda w: w.rlike(_SUSPECT)))).alias("w"))
-    return words.join(broadcast_if_small(fixes.select("w", "fix"), n_fixes), "w")
+    words = rows.where("text is not null").select(*keys, F.explode(F.array_distinct(raw_words(F.col("text")))).alias("o"))
+    return words.join(broadcast_if_small(by_form, n_forms), "o").select(*keys, "w", "fix").distinct()
 
 
 # --- per text --------------------------------------------------------------------------------
@@ -177,7 +203,8 @@ def is_cut_word(m: re.Match, frequent: Counter | dict) -> bool:
     return mark != "-" or not whole or frequent.get((a + b).lower(), 0) > whole
 
 
-_GAP = re.compile(r"(?<![\w\-/])(?=([^\W\d_]+)[ \n]([^\W\d_]+)(?![\w\-/]))")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_RIGHT = re.compile(r"[ \n]([^\W\d_]+)(?![\w\-/])")
 
 
 def is_gap(a: str, b: str, frequent: Counter | dict) -> bool:
@@ -188,6 +215,27 @@ def is_gap(a: str, b: str, frequent: Counter | dict) -> bool:
     return low[0] + low[1] in frequent and (low[0] not in frequent and len(a) > 1 or low[1] not in frequent and len(b) > 1)
 
 
+def gaps(text: str, frequent: Counter | dict) -> Iterator[tuple[int, int, int]]:
+    """(start of the first part, its end, end of the second) of the words split by one gap, in order.
+
+    A part of such a word is rare, so only rare words are looked at with their neighbours."""
+    rare = [m.span() for m in _LETTERS.finditer(text) if m.group().lower() not in frequent]
+    starts = set()
+    for a, e in rare:
+        starts.add(a)
+        if a > 1 and text[a - 1] in " \n" and text[a - 2].isalpha():
+            k = a - 2
+            while k and text[k - 1].isalpha():
+                k -= 1
+            starts.add(k)
+    for a in sorted(starts):
+        if a and (text[a - 1] in "-/" or text[a - 1] == "_" or text[a - 1].isalnum()):
+            continue
+        one = _LETTERS.match(text, a)
+        if one and (two := _RIGHT.match(text, one.end())) and is_gap(one.group(), two.group(1), frequent):
+            yield a, one.end(), two.end()
+
+
 def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str], list[str]]:
     """(kinds of damage seen inside the text, keys of lines that may be running heads).
 
@@ -231,17 +279,17 @@ def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str],
             kinds.add("misread")
             break
     else:
-        if any(is_gap(m.group(1), m.group(2), frequent) for m in _GAP.finditer(body)):
+        if next(gaps(body, frequent), None):
             kinds.add("misread")
     return kinds, keys
 
 
-def _short_frequent(texts: DataFrame, text: str, share: float) -> dict[str, int]:
-    """Counts over distinct texts of frequent words of any length, hyphenated ones included; at most
+def frequent_words(forms: DataFrame, share: float) -> dict[str, int]:
+    """Counts over distinct texts of frequent words of any length, hyphened ones included; at most
     1 / share."""
-    w = texts.select(text).distinct().select(F.explode(F.regexp_extract_all(F.lower(_joined(F.col(text))), F.lit(r"(?<![\p{L}\p{N}])(\p{L}+(?:-\p{L}+)?)(?![\p{L}\p{N}])"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = w.agg(F.sum("n")).first()[0] or 0
-    floor = max(FREQUENT_LEAST, int(total * share))
+    word = F.regexp_extract_all(F.lower("o"), F.lit(r"(?<![\p{L}\p{N}])(\p{L}+(?:-\p{L}+)?)(?![\p{L}\p{N}])"), F.lit(1))
+    w = cut(forms.select(F.explode(word).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")))
+    floor = max(FREQUENT_LEAST, int((w.agg(F.sum("n")).first()[0] or 0) * share))
     return {r.w: r.n for r in w.where(F.col("n") >= floor).collect()}
 
 
@@ -252,6 +300,14 @@ def recurring_heads(heads: DataFrame) -> DataFrame:
     return heads.join(again, ["record", "doc", "head"], "left_semi")
 
 
+def evidence(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written forms, corrections of words, and corrections by written form, each materialised."""
+    forms = cut(written_forms(rows))
+    vocab = cut(vocabulary(forms))
+    fixes = cut(corrections(vocab, frequent_floor(vocab, share)))
+    return forms, fixes, cut(written_fixes(forms, fixes))
+
+
 def find_damage(texts: DataFrame, page: str = "page_num", share: float = FREQUENT_SHARE) -> DataFrame:
     """``(record, doc, page_num, kind)`` from ``(record, doc, page_num, text)``.
 
@@ -262,11 +318,10 @@ def find_damage(texts: DataFrame, page: str = "page_num", share: float = FREQUEN
     line) pairs, so a document of very many pages is never gathered.
     """
     keys = ["record", "doc", "page_num"]
-    rows = cut(texts.where(F.length(F.trim("text")) > 0).select(*keys, "text").distinct())
-    vocab = cut(vocabulary(rows, "text"))
-    fixes = cut(corrections(vocab, frequent_floor(vocab, share)))
-    misread = misread_words(rows, keys, "text", fixes, fixes.count()).select(*keys).distinct().withColumn("kind", F.lit("misread"))
-    held = rows.sparkSession.sparkContext.broadcast(_short_frequent(rows, "text", share))
+    rows = cut(prepared(texts.where(F.length(F.trim("text")) > 0), keys))
+    forms, fixes, by_form = evidence(rows, share)
+    misread = misread_words(rows, keys, by_form, by_form.count()).select(*keys).distinct().withColumn("kind", F.lit("misread"))
+    held = rows.sparkSession.sparkContext.broadcast(frequent_words(forms, share))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = held.value
@@ -277,7 +332,7 @@ def find_damage(texts: DataFrame, page: str = "page_num", share: float = FREQUEN
                 out.append((r, d, p, sorted(kinds), heads))
             yield pd.DataFrame(out, columns=[*keys, "kinds", "heads"])
 
-    seen = cut(rows.mapInPandas(look, "record string, doc string, page_num int, kinds array<string>, heads array<string>"))
+    seen = cut(rows.select(*keys, "text").mapInPandas(look, "record string, doc string, page_num int, kinds array<string>, heads array<string>"))
     inside = seen.select(*keys, F.explode("kinds").alias("kind"))
     recurring = recurring_heads(seen.select(*keys, F.explode("heads").alias("head"))).select(*keys).withColumn("kind", F.lit("header"))
     return inside.unionByName(misread).unionByName(recurring).distinct()
@@ -298,10 +353,10 @@ def close_gaps(run: str, frequent: dict[str, int]) -> str:
 def close_splits(text: str, frequent: dict[str, int]) -> str:
     """Text whose words split by one gap are closed; a word is joined to one neighbour only."""
     out, at, used = [], 0, -1
-    for m in _GAP.finditer(text):
-        if m.start() > used and is_gap(m.group(1), m.group(2), frequent):
-            out.append(text[at : m.end(1)])
-            at, used = m.start(2), m.end(2)
+    for a, e, end in gaps(text, frequent):
+        if a > used:
+            out.append(text[at:e])
+            at, used = e + 1, end
     return "".join(out) + text[at:]
 
 
@@ -360,22 +415,20 @@ def repaired(texts: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
 
     Corrections and the heads that recur over the pages of its document travel with their own text only."""
     keys = ["record", "doc", "page_num"]
-    rows = cut(texts.select(*keys, "text").distinct())
-    vocab = cut(vocabulary(rows.where("text is not null"), "text"))
-    fixes = cut(corrections(vocab, frequent_floor(vocab, share)))
-    by_text = rows.withColumn("h", F.xxhash64("text"))
-    found = misread_words(by_text.where("text is not null"), [*keys, "h"], "text", fixes, fixes.count())
+    rows = cut(prepared(texts, keys))
+    forms, fixes, by_form = evidence(rows, share)
+    found = misread_words(rows, [*keys, "h"], by_form, by_form.count())
     own = found.groupBy(*keys, "h").agg(F.map_from_arrays(F.collect_list("w"), F.collect_list("fix")).alias("fixes"))
-    held = rows.sparkSession.sparkContext.broadcast(_short_frequent(rows.where("text is not null"), "text", share))
+    held = rows.sparkSession.sparkContext.broadcast(frequent_words(forms, share))
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pages = [{k for l in edge_lines(_lines(t.replace("\r\n", "\n").replace("\r", "\n"))) if (k := head_key(l))} for t in pdf["text"]]
             yield pdf[keys].assign(head=[sorted(x) for x in pages]).explode("head").dropna(subset=["head"])
 
-    pages = rows.where("text is not null and page_num <> 0").mapInPandas(edges, "record string, doc string, page_num int, head string")
+    pages = rows.where("text is not null and page_num <> 0").select(*keys, "text").mapInPandas(edges, "record string, doc string, page_num int, head string")
     heads = recurring_heads(cut(pages)).groupBy(*keys).agg(F.collect_set("head").alias("heads"))
-    joined = by_text.join(own, [*keys, "h"], "left").join(heads, keys, "left").drop("h")
+    joined = rows.join(own, [*keys, "h"], "left").join(heads, keys, "left").drop("h")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -35,12 +35,14 @@ _P = 2_147_483_647
 
 _HYPHENS = "-‐­¬"
 _CUT = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)([{_HYPHENS}])[ \t]*\n[\s]*([^\W\d_]+)")
+_MAY_CUT = re.compile(rf"[{_HYPHENS}][ \t]*\n")
 _SPELLED = re.compile(r"(?<![^\s(\"«“])[^\W\d_](?:[ \n][^\W\d_]){2,}(?![^\s.,;:)!?\"»”])")
 _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE = re.compile(
     rf"[-–—\[(]?\s*(?:(?:p[aáà@α]g[iı!í]na|p[aα@]ge|se[iı!]te|p[aá]g|fol?ha|hoja|p|s)\.?\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*(?:/|de|of|sur|von)\s*\d{{1,4}})?\s*[-–—\])]?",
     re.I,
 )
+_PAGE_ENDS = frozenset("ivxlcdmIVXLCDMıİ-–—])")  # what a page number without a digit at its end may end with
 _ITEM = re.compile(r"\s*(?:[-*+•–—·|>#]|\d{1,3}[.)]\s|\d{1,3} - |\[[ xX]?\]|\\|<|\{|\[\^|={2,}|!|`|~)")
 _FORM = re.compile(
     r"\S {3,}\S|\d\.\d {2}\S|[^\W\d_]{3} [·|—] [^\W\d_]|[a-zà-ÿ](?:[A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ]{2}-\d+)(?: |$)|^[A-ZÀ-Þ][^\W\d_]*(?: [A-ZÀ-Þ][^\W\d_]*)? \d\.\d {2}"
@@ -48,17 +50,18 @@ _FORM = re.compile(
 _FOLD = str.maketrans({"α": "a", "@": "a", "ı": "i", "!": "i", "ŕ": "r", "†": "t", "7": "t", "0": "o", "ô": "o", "1": "l", "|": "l", "c": "e", "(": "e", "¢": "ç", "р": "p", "ν": "v"})
 
 #: Words of a text as the vocabulary counts them: letters with misread signs among them.
-WORD = r"[\p{L}\p{M}0-9!|@†¢]+(?:\([\p{L}\p{M}0-9!|@†¢]+)*"
+WORD = r"[\p{L}\p{M}0-9!|@†¢]++(?:\([\p{L}\p{M}0-9!|@†¢]++)*+"
 
 
 def _joined(t: Column) -> Column:
     """Text whose line-end hyphens are closed and whose addresses are gone."""
-    return F.regexp_replace(F.regexp_replace(t, r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+", " "), rf"(?<=\p{{L}})[{_HYPHENS}][ \t]*\r?\n\s*(?=\p{{L}})", "")
+    plain = F.when(F.contains(t, F.lit("://")) | F.lower(t).contains("www."), F.regexp_replace(t, r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+", " ")).otherwise(t)
+    return F.regexp_replace(plain, rf"(?<=\p{{L}})[{_HYPHENS}][ \t]*\r?\n\s*(?=\p{{L}})", "")
 
 
 def raw_words(t: Column) -> Column:
     """Written forms of a text's words, hyphened compounds whole."""
-    return F.regexp_extract_all(_joined(t), F.lit(f"({WORD}(?:-{WORD})*)"), F.lit(1))
+    return F.regexp_extract_all(_joined(t), F.lit(f"({WORD}(?:-{WORD})*+)"), F.lit(1))
 
 
 def plain_form(o: Column) -> Column:
@@ -157,7 +160,7 @@ def _lines(text: str) -> list[str]:
 def is_page_number(line: str) -> bool:
     """A line that only numbers the page."""
     s = line.strip()
-    if not s or not _PAGE.fullmatch(s):
+    if not s or not (s[-1].isdigit() or s[-1] in _PAGE_ENDS) or not _PAGE.fullmatch(s):
         return False
     return not re.fullmatch(r"[a-z]", s, re.I) or s.lower() in "ivx"
 
@@ -219,7 +222,11 @@ def gaps(text: str, frequent: Counter | dict) -> Iterator[tuple[int, int, int]]:
     """(start of the first part, its end, end of the second) of the words split by one gap, in order.
 
     A part of such a word is rare, so only rare words are looked at with their neighbours."""
-    rare = [m.span() for m in _LETTERS.finditer(text) if m.group().lower() not in frequent]
+    low = text.lower()
+    if len(low) == len(text):
+        rare = [m.span() for m in _LETTERS.finditer(low) if m.group() not in frequent]
+    else:  # a sign whose lower case is longer
+        rare = [m.span() for m in _LETTERS.finditer(text) if m.group().lower() not in frequent]
     starts = set()
     for a, e in rare:
         starts.add(a)
@@ -245,10 +252,9 @@ def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str],
     kinds: set[str] = set()
     lines = _lines(text)
     # Hyphenation, by the counts of the joined word and of its hyphenated form.
-    for m in _CUT.finditer(text):
-        if is_cut_word(m, frequent):
-            kinds.add("hyphenation")
-            break
+    cuts = bool(_MAY_CUT.search(text))
+    if cuts and any(is_cut_word(m, frequent) for m in _CUT.finditer(text)):
+        kinds.add("hyphenation")
     # Page numbers.
     full = [l for l in lines if l.strip()]
     where = full[:2] + full[-2:] if paged else full
@@ -272,7 +278,7 @@ def inspect(text: str, frequent: Counter | dict, paged: bool) -> tuple[set[str],
         if form or any(n > 1 for n in seen.values()):
             kinds.add("header")
     # Gaps inside words.
-    body = _CUT.sub(r"\1\3", text)
+    body = _CUT.sub(r"\1\3", text) if cuts else text
     for m in _SPELLED.finditer(body):
         run = re.sub(r"\s", "", m.group()).lower()
         if len(run) >= 5 or run in frequent:

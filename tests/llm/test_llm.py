@@ -196,10 +196,44 @@ def test_markup_keeps_structure():
     assert "# Top" in c and "- one item" in c and "```\nx = '<b>'\n```" in c and "$E = m c^{2}$" in c and "script" not in c and "var a" not in c
 
 
-def test_line_blocks():
-    text = ["A long line of real text here.", "Another long line of text.", "", "", "", "ok", "", "", "", "Again a long line of text."]
-    kept = markup.main_blocks(text)
-    assert "ok" not in kept and kept[0] == text[0] and "Again a long line of text." in kept
+LONG = "A paragraph with enough text to be one, and with more of it to count."
+
+
+def test_line_blocks_remove_planted_residue():
+    """Menus, navigation and footers go, whatever markup they come in; the text between them stays."""
+    page = f"<html><body><div>Shop</div><div>Home</div><nav><ul><li><a href='/'>Start</a></li><li><a href='/x'>About us</a></li></ul></nav><h1>Title</h1><p>{LONG}</p><p>Yes.</p><pre>x = 1</pre><p>{LONG} $a^{{2}}$</p><ul><li>an item</li></ul><footer>Copyright 2020 <a href='/'>Foo</a></footer><div>Contact</div></body></html>"
+    got = markup.convert(page)[0]
+    assert all(x in got for x in ("# Title", LONG, "Yes.", "```\nx = 1\n```", "$a^{2}$", "- an item"))
+    assert not any(x in got for x in ("Shop", "Home", "Start", "About us", "Copyright", "Foo", "Contact"))
+    md = f"[Home](/) [Docs](/d)\n[Blog](/b)\n\n\n\n# Title\n\n{LONG} See [the docs](/d).\n\n[One reference](/r)\n\n\n\n[Top](#t)\n[Next](#n)\n"
+    got = markup.convert(md)[0]
+    assert got == f"# Title\n\n{LONG} See the docs.\n\nOne reference"
+
+
+@pytest.mark.parametrize("text", ["Yes.", "OK now", "a\n\n\n\nb", f"Short\n\n\n\n{LONG}\n\n\n\nend", f"{LONG}\n\n\n\nFim\n\n\n\n{LONG}"])
+def test_plain_text_is_kept_whole(text):
+    assert markup.convert(text)[0].split() == text.split()
+
+
+def test_line_blocks_do_not_lose_text_of_the_tables():
+    import os
+
+    path = "/root/testdata/sf0.001/documents_md.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are not here")
+    import pyarrow.parquet as pq
+
+    for body in pq.read_table(path).column("body").to_pylist():
+        lines = [l for l in (body or "").split("\n") if l.strip()]
+        assert [l for l in markup.main_blocks(lines) if l.strip()] == lines
+
+
+@pytest.mark.parametrize("n", [199, 200, 201, 5_000, 5_001, 30_000])
+def test_formulas_of_any_length(n):
+    f = "x" + "+y" * (n // 2)
+    for text, held in ((f"a $$ {f} $$ b", f"$$ {f} $$"), (f"a ${f}$ b", f"${f}$"), (f"a \\begin{{align}}{f}\\end{{align}} b", f"$$ {f} $$")):
+        clean, families = markup.convert(text)
+        assert held in clean and families == {"latex"}
 
 
 def test_clean_markup_frame(spark):

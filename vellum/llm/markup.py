@@ -3,9 +3,11 @@
 HTML, Markdown, wiki and LaTeX constructs are recognised and converted in one pass per text: code and
 formulas are set aside untouched, headings become ``#`` lines, list items ``-`` lines, tables rows of
 cells, and everything else of the markup goes. What remains is cut to the main text by line-block
-distribution: the lengths of stripped lines are summed over a sliding window, a surge opens a block of
-text, a dive closes it, and text outside the blocks is residue. Every text is an independent row: no
-shuffle, no state beyond one text.
+distribution: the lengths of stripped lines, text of links not counted, are summed over a sliding
+window; a surge opens a block of text, a dive closes it. Outside the blocks, lines that are nothing
+but links, the content of navigation elements and, at the ends of a web page, short loose lines are
+residue; text that no surge stands out from is kept whole, so a short text survives. Every text is an
+independent row: no shuffle, no state beyond one text.
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
-#: Line-block distribution: lines per window, characters that open a block.
-WINDOW, SURGE = 3, 12
+#: Line-block distribution: lines per window, characters in a window that open a block, characters
+#: from which a line is no loose line.
+WINDOW, SURGE, HEAVY = 3, 40, 25
 
 _HOLD, _END = "\ue000", "\ue001"
+#: Around the text of a link, and around the content of a navigation element.
+_LINKED, _UNLINKED, _NAV, _UNNAV = "\ue002", "\ue003", "\ue004", "\ue005"
+_MARKS = re.compile("[\ue002-\ue005]")
 
 # --- patterns: code and formulas -------------------------------------------------------------
 _FENCE = re.compile(r"(?ms)^[ ]{0,3}(`{3,}|~{3,})[^\n`]*\n(.*?)(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)")
@@ -32,7 +38,7 @@ _NOWIKI = re.compile(r"(?is)<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)(?:</\
 _SCRIPT = re.compile(r"(?is)<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)")
 _COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
 _DISPLAY = re.compile(r"\\\[|\$\$|\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}")
-_INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{1,200}?)(?<=[^\s\\])\$(?![\w$])|\\\(([^\n]+?)\\\)")
+_INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]+)(?<=[^\s\\])\$(?![\w$])|\\\(([^\n]+?)\\\)")
 _MATHY = re.compile(r"\\[A-Za-z]+|[\^_]\{|[\^_=<>+]")
 _MATHTAG = re.compile(r"(?is)<math\b[^<>]*>(.*?)</math\s*>")
 # --- html ------------------------------------------------------------------------------------
@@ -75,6 +81,9 @@ _TEX_ANY = re.compile(r"\\[A-Za-z]{2,}\*?\{([^{}\n]*)\}")
 _TABULAR = re.compile(r"(?s)\\begin\{(tabular|tabularx|array|longtable)\*?\}(?:\{[^{}\n]*\})*(.*?)(?:\\end\{\1\*?\}|\Z)")
 
 _BLOCK = {"p", "div", "br", "tr", "table", "ul", "ol", "dl", "dt", "section", "article", "header", "footer", "nav", "blockquote", "hr", "thead", "tbody", "body", "html", "head", "figure", "form"}
+_NAVIGATION = {"nav", "header", "footer", "aside", "menu"}
+#: Elements that make a text a web page rather than a text with a few tags.
+_PAGE_TAG = re.compile(r"(?i)<(?:html|body|div|nav|header|footer|aside|menu|main|article)\b")
 
 
 def display_spans(s: str) -> list[tuple[int, int, int, int]]:
@@ -114,6 +123,7 @@ class _Text:
 
     def __init__(self, text: str):
         self.s = text.replace("\r\n", "\n").replace("\r", "\n").replace("\f", "\n").replace(_HOLD, "").replace(_END, "")
+        self.s = _MARKS.sub("", self.s)
         self.kept: list[str] = []
         self.found: set[str] = set()
 
@@ -161,6 +171,10 @@ def _html(t: _Text) -> None:
             return "" if closing else "\n- "
         if name in ("td", "th"):
             return "" if closing else " | "
+        if name == "a":
+            return _UNLINKED if closing else _LINKED
+        if name in _NAVIGATION:
+            return _UNNAV + "\n" if closing else "\n" + _NAV
         return "\n" if name in _BLOCK else ""
 
     t.sub("html", _TAG, tag)
@@ -187,8 +201,8 @@ def _latex(t: _Text) -> None:
 def _wiki(t: _Text) -> None:
     t.sub("wiki", _WIKI_HEAD, lambda m: "#" * len(m.group(1)) + " " + m.group(2))
     t.sub("wiki", _TEMPLATE, "")
-    t.sub("wiki", _WIKI_LINK, lambda m: m.group(1).rpartition("|")[2])
-    t.sub("wiki", _WIKI_URL, r"\1")
+    t.sub("wiki", _WIKI_LINK, lambda m: _LINKED + m.group(1).rpartition("|")[2] + _UNLINKED)
+    t.sub("wiki", _WIKI_URL, rf"{_LINKED}\1{_UNLINKED}")
     t.sub("wiki", _WIKI_CELLS, lambda m: re.sub(r"[ \t]*(?:!!|\|\|)[ \t]*", " | ", m.group(1)))
     if _WIKI_TABLE.search(t.s):
         t.sub("wiki", re.compile(r"(?m)^[!|][ \t]+(?=[^\s|])"), "")
@@ -215,7 +229,7 @@ def _markdown_lists(t: _Text) -> None:
 def _markdown(t: _Text) -> None:
     t.sub("markdown", _TICK, lambda m: t.hold(m.group(2)))
     t.sub("markdown", _IMAGE, r"\1")
-    t.sub("markdown", _LINK, r"\1")
+    t.sub("markdown", _LINK, rf"{_LINKED}\1{_UNLINKED}")
     t.sub("markdown", _NOTE, "")
     t.sub("markdown", _MD_SEPARATOR, "")
     t.sub("markdown", _MD_ROW, lambda m: m.group().strip().strip("|").strip())
@@ -227,27 +241,73 @@ def _markdown(t: _Text) -> None:
     t.sub("markdown", _EM, r"\1")
 
 
-def main_blocks(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """Line-block distribution over stripped lines.
-
-    ``d[k]`` sums the text lengths of lines k .. k+window-1. Where d reaches ``surge`` a block opens;
-    where it falls to zero (a dive: no text in a whole window) the block closes. Structural lines
-    carry text and count like any other."""
-    size = [len(re.sub(r"[\W_]+", "", l)) for l in lines]
+def _weigh(lines: list[str]) -> tuple[list[int], list[bool]]:
+    """(letters and digits of each line outside links and navigation, whether it is nothing but
+    navigation or one of several lines or links that follow each other)."""
+    size, residue, links, linked, nav = [], [], [], False, 0
+    for l in lines:
+        n = other = 0
+        if _MARKS.search(l) or linked or nav:
+            for part in re.split("([\ue002-\ue005])", l):
+                if part in (_LINKED, _UNLINKED):
+                    linked = part == _LINKED
+                elif part in (_NAV, _UNNAV):
+                    nav = max(0, nav + (1 if part == _NAV else -1))
+                elif linked or nav:
+                    other += len(re.sub(r"[\W_]+", "", part))
+                else:
+                    n += len(re.sub(r"[\W_]+", "", part))
+            linked = linked and bool(l.strip())  # a link left open ends with its paragraph
+        else:
+            n = len(re.sub(r"[\W_]+", "", l))
+        size.append(n if _HOLD not in l else n + SURGE)
+        residue.append(other > 0 and n == 0)
+        links.append(2 if nav or _UNNAV in l else l.count(_LINKED))
+    # One link on its own is a reference; several together are a menu.
+    k = 0
+    while k < len(lines):
+        end, blank = k, 0
+        while end < len(lines) and (residue[end] or not lines[end].strip()) and blank < WINDOW:
+            blank = 0 if residue[end] else blank + 1
+            end += 1
+        if sum(links[k:end]) < 2:
+            residue[k:end] = [False] * (end - k)
+        k = max(end, k + 1)
+    return size, residue
+
+
+def main_blocks(lines: list[str], page: bool = False, window: int = WINDOW, surge: int = SURGE, heavy: int = HEAVY) -> list[str]:
+    """Lines of the main text by line-block distribution.
+
+    ``d[k]`` sums the lengths of lines k .. k+window-1, without links and navigation. Where d reaches
+    ``surge`` at a line with text a block opens; where d falls to zero (a dive: no text in a whole
+    window) it closes. Outside the blocks menus of links and navigation go. In a web page
+    (``page``) a block begins and ends with a line of at least ``heavy`` characters or a finished
+    sentence, and loose lines before the first and after the last block go too; headings, list items,
+    rows of tables, code and formulas stay. Without a surge all lines stay."""
+    size, residue = _weigh(lines)
     d = [sum(size[k : k + window]) for k in range(len(lines))]
-    keep, k = [], 0
+    keep, blocks, k = [False] * len(lines), [], 0
     while k < len(lines):
-        if d[k] < surge:
-            if size[k] and (lines[k].startswith(("#", "- ")) or _HOLD in lines[k]):
-                keep.append(lines[k])
+        if not (size[k] and d[k] >= surge):
             k += 1
             continue
         end = k
         while end < len(lines) and d[end] > 0:
             end += 1
-        keep += lines[k:end] + [""]
+        full = [i for i in range(k, end) if size[i] >= heavy or re.search(r"[.!?…:;][\"'»”)\]]*\s*$", lines[i])] if page else [i for i in range(k, end) if size[i]]
+        if full:
+            blocks.append((full[0], full[-1]))
+            keep[full[0] : full[-1] + 1] = [True] * (full[-1] + 1 - full[0])
         k = end
-    return keep
+    if not blocks:
+        return lines
+    first, last = blocks[0][0], blocks[-1][1]
+    for k, l in enumerate(lines):
+        loose = page and (k < first or k > last) and 0 < size[k] < heavy
+        structure = l.startswith(("#", "- ")) or " | " in l or _HOLD in l
+        keep[k] = keep[k] or not residue[k] and (not loose or structure)
+    return [l for l, k in zip(lines, keep) if k]
 
 
 def convert(text: str | None) -> tuple[str, set[str]]:
@@ -282,7 +342,8 @@ def convert(text: str | None) -> tuple[str, set[str]]:
     _latex(t)
     _html(t)
     s = re.sub(r"[ \t]+\n", "\n", t.s)
-    body = "\n".join(main_blocks([re.sub(r"[ \t]{2,}", " ", l).rstrip() for l in s.split("\n")]))
+    lines = [re.sub(r"[ \t]{2,}", " ", l).rstrip() for l in s.split("\n")]
+    body = _MARKS.sub("", "\n".join(main_blocks(lines, bool(_PAGE_TAG.search(text)))))
     return re.sub(r"\n{3,}", "\n\n", t.release(body)).strip(), t.found
 
 

@@ -351,6 +351,17 @@ def test_language_segments(spark):
     assert best["mix"] == 2 and best["one"] == 1
 
 
+def test_fit_reads_whole_texts_and_hot_folders_are_salted(spark, monkeypatch):
+    """Evidence after 20,000 signs counts; one folder holds all documents and priors are no broadcast."""
+    fit = spark.createDataFrame([(i, "zzq " * 6_000 + t, l) for i, (l, t) in enumerate(SAMPLES.items())], "k int, t string, l string")
+    model = language.fit(fit, "k", "t", "l")
+    docs = spark.createDataFrame([(f"{l}{i}", t, "a/b/c.md") for l, t in SAMPLES.items() for i in range(20)], "doc string, body string, path string")
+    small = {(r.doc, r.language) for r in language.segments(docs, model, "doc", "body", "path").collect()}
+    monkeypatch.setattr(language, "BROADCAST_ROWS", 0)
+    large = {(r.doc, r.language) for r in language.segments(docs, model, "doc", "body", "path").collect()}
+    assert small == large == {(f"{l}{i}", l) for l in SAMPLES for i in range(20)}
+
+
 @pytest.mark.parametrize(("label", "want"), [("pt-BR", "pt"), ("ENG", "en"), ("es-419", "es"), ("fra", "fr"), ("de_AT", "de"), ("und", None), ("", None), (None, None), ("n/a", None), ("xx", None)])
 def test_labels(spark, label, want):
     assert spark.createDataFrame([(label,)], "l string").select(language.label_language(F.col("l")).alias("r")).first().r == want
@@ -498,12 +509,21 @@ def test_kneser_ney_sums_to_one(spark):
     assert rows and all(0 < r.s <= 1 + 1e-9 for r in rows)
 
 
-def test_perplexity_bands(spark):
+def test_perplexity_bands(spark, monkeypatch):
     rng = random.Random(17)
-    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(50)), "pt") for i in range(60)] + [(100, "a b " * 60, "pt"), (101, None, "pt"), (102, " ".join(f"x{i}" for i in range(60)), None)]
-    got = {r.doc_id: r for r in repetition.perplexity(spark.createDataFrame(rows, "doc_id int, text string, lang string"), "doc_id", "text", "lang").collect()}
-    assert len(got) == 63 and got[101].verdict == "empty" and got[102].language == "und"
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(50)), "pt") for i in range(60)] + [(100, "a b " * 60, "pt"), (101, None, "pt"), (102, " ".join(f"x{i}" for i in range(60)), None), (103, "12 " * 500, "pt")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in repetition.perplexity(df, "doc_id", "text", "lang").collect()}
+    assert len(got) == 64 and got[101].verdict == "empty" and got[102].language == "und"
     assert got[100].perplexity < min(got[i].perplexity for i in range(60))
+    # The bands follow the spread, not a share of the documents: of alike texts none falls out.
+    assert {got[i].verdict for i in range(60)} == {"ok"} and got[100].verdict == got[103].verdict == "low"
+    # Many buckets, hot ones split, give the same.
+    monkeypatch.setattr(repetition, "GROUP_ROWS", 40)
+    again = {r.doc_id: r for r in repetition.perplexity(df, "doc_id", "text", "lang").collect()}
+    assert {k: (r.n_words, r.verdict) for k, r in got.items()} == {k: (r.n_words, r.verdict) for k, r in again.items()}
+    assert all(r.perplexity == pytest.approx(again[k].perplexity) for k, r in got.items() if r.perplexity)
+    assert repetition.perplexity(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
 def test_words():

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from vellum.runtime import cut
+from vellum.runtime import BROADCAST_ROWS, cut
 
 #: Languages and the codes that give them (fixed values).
 LANGUAGES = ("pt", "en", "es", "fr", "de")
@@ -28,7 +28,8 @@ CODES = {
 #: Address suffixes and the language they speak for, with weak odds (fixed values).
 SUFFIXES = {"pt": "pt", "br": "pt", "uk": "en", "us": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr", "de": "de", "at": "de"}
 
-#: Labelled texts per language from which the models are fitted; the only sample in this module.
+#: Labelled texts per language from which the models are fitted, each read whole; the only sample in
+#: this module.
 FIT_ROWS = 300
 #: Words of one run of sentences that make a whole passage.
 PASSAGE_WORDS = 15
@@ -43,9 +44,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DECLARED = re.compile(r"(?i)\blang(?:uage)?\s*[=:]\s*[\"']?([a-z]{2,3})\b")
 _ADDRESS = re.compile(r"(?i)\bhttps?://[^\s/<>()\"']+\.([a-z]{2,})\b")
 _CODE = re.compile(r"(?ms)^[ ]{0,3}(`{3,}|~{3,}).*?(?:^[ ]{0,3}\1[`~]*\s*$|\Z)|<(pre|script|style)\b.*?(?:</\2>|\Z)|\\begin\{verbatim\}.*?(?:\\end\{verbatim\}|\Z)")
-_MARK = re.compile(r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|\\[A-Za-z]+\*?|[*_`~#{}|\[\]]+")
+_MARK = re.compile(r"</?[A-Za-z!][^<>]*>|&[A-Za-z]{2,8};|\\[A-Za-z]+\*?|[*_`~#{}|\[\]]+")
 _PLAIN = re.compile(r"[<&\\*_`~#{}|\[\]\-‐\u00ad¬]")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\n\s*\n|\f")
+#: Rows of tables and items of lists, which are no sentences whatever they end with.
+_ROW = re.compile(r"(?i)<(?:table|thead|tbody|tr|td|th)\b|\\item\b|(?:\|[^|]*){3}")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­¬][ \t]*\n\s*(?=[^\W\d_])")
 
 
@@ -59,12 +62,9 @@ def label_language(c: Column) -> Column:
 class Model:
     """Character n-gram likelihoods of the languages, additively smoothed."""
 
-    def __init__(self, texts: list[tuple[str, str]]):
-        counts = {l: Counter() for l in LANGUAGES}
-        for lang, text in texts:
-            for w in _WORD.findall(text.casefold()):
-                counts[lang].update(self.grams(w))
-        shared = set().union(*counts.values()) if texts else set()
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        counts = {l: Counter(counts.get(l, {})) for l in LANGUAGES}
+        shared = set().union(*counts.values())
         vocabulary = max(1, len(shared))
         totals = [sum(counts[l].values()) + 0.5 * vocabulary for l in LANGUAGES]
         self.unseen = np.log(0.5 / np.array(totals))
@@ -117,8 +117,22 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, rows: int = FIT_RO
     rows sends no more than ``rows`` of them per task."""
     have = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), label_language(F.col(label)).alias("l")).where("l is not null and length(trim(t)) > 0")
     w = W.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    few = have.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("l", F.substring("t", 1, 20_000).alias("t"))
-    return Model([(r.l, r.t) for r in few.collect()])
+    few = have.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("l", "t")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for l, t in zip(pdf["l"], pdf["t"]):
+                grams: Counter = Counter()
+                for x, n in Counter(_WORD.findall(t.casefold())).items():
+                    for g in Model.grams(x):
+                        grams[g] += n
+                if grams:
+                    yield pd.DataFrame({"l": l, "g": list(grams), "n": list(grams.values())})
+
+    counts: dict[str, dict[str, int]] = {}
+    for r in few.mapInPandas(count, "l string, g string, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r.l, {})[r.g] = r.n
+    return Model(counts)
 
 
 def sentences(text: str) -> list[tuple[str, int, int, bool]]:
@@ -129,7 +143,7 @@ def sentences(text: str) -> list[tuple[str, int, int, bool]]:
         end = m.start() if m else len(s)
         part = s[at:end]
         if part.strip():
-            prose = bool(re.search(r"[.!?…:][\"'»”)\]*_\s]*$", part)) and part.count("|") < 3 and "\\item" not in part and "<t" not in part
+            prose = bool(re.search(r"[.!?…:][\"'»”)\]*_\s]*$", part)) and not _ROW.search(part)
             out.append((part, at, end, prose))
         at = m.end() if m else end
     return out
@@ -243,7 +257,15 @@ def segments(docs: DataFrame, model: Model, key: str, text: str, path: str) -> D
 
     schema = f"k {kind}, h1 string, h2 string, spans array<bigint>, scores array<float>, hints array<double>, " + ", ".join(f"{c} double" for c in v)
     read_once = cut(rows.mapInPandas(read, schema))
-    fused = read_once.where(F.size("spans") > 0).join(host_priors(read_once.select("h1", "h2", *v)), ["h1", "h2"]).select("k", "spans", "scores", "hints", "prior")
+    priors = cut(host_priors(read_once.select("h1", "h2", *v)))
+    n, salts = priors.count(), 16
+    heard = read_once.where(F.size("spans") > 0)
+    if n <= BROADCAST_ROWS:
+        fused = heard.join(F.broadcast(priors), ["h1", "h2"])
+    else:  # a folder may hold a third of all documents
+        salted = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        fused = heard.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).join(salted, ["h1", "h2", "salt"])
+    fused = fused.select("k", "spans", "scores", "hints", "prior")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

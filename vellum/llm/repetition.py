@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellum.llm.words import measured_words
-from vellum.runtime import cut
+from vellum.runtime import broadcast_if_small, cut
 
 RUN = 6
-#: Rows of document trigrams that one scoring task should hold.
+#: Trigrams of the model, and half the words of documents, that one scoring task should hold.
 GROUP_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +128,9 @@ def kneser_ney(tri: DataFrame) -> DataFrame:
     """``(tri, logp)``: natural log of the interpolated probability of every trigram seen.
 
     Lower orders use continuation counts. A context's totals and discounts are sums, so they
-    combine map-side whatever the context's share of the corpus.
+    combine map-side whatever the context's share of the corpus; they are joined back broadcast where
+    their counted rows are few, else by shuffles whose hot keys adaptive execution splits (the side of
+    the totals has one row a key).
     """
     bi = tri.groupBy("suf", "mid", "last").agg(F.count("*").alias("k"))
     uni = bi.groupBy("last").agg(F.count("*").alias("k"))
@@ -138,7 +140,8 @@ def kneser_ney(tri: DataFrame) -> DataFrame:
     d1 = 0.75
     p1 = uni.select("last", ((F.col("k") - d1) / s + F.lit(d1 * v / s / v)).alias("p1"))
     mids = bi.groupBy("mid").agg(F.sum("k").alias("total"), F.sum(_take(F.col("k"), d2)).alias("held"))
-    p2 = bi.join(mids, "mid").join(p1, "last").select("suf", ((F.col("k") - _take(F.col("k"), d2)) / F.col("total") + F.col("held") / F.col("total") * F.col("p1")).alias("p2"))
+    words = uni.count()
+    p2 = bi.join(broadcast_if_small(mids, words), "mid").join(broadcast_if_small(p1, words), "last").select("suf", ((F.col("k") - _take(F.col("k"), d2)) / F.col("total") + F.col("held") / F.col("total") * F.col("p1")).alias("p2"))
     ctxs = tri.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(_take(F.col("c"), d3)).alias("held"))
     p3 = tri.join(ctxs, "ctx").join(p2, "suf")
     p = (F.col("c") - _take(F.col("c"), d3)) / F.col("total") + F.col("held") / F.col("total") * F.col("p2")
@@ -151,48 +154,72 @@ def hash_arrays(model: DataFrame, buckets: int) -> DataFrame:
     return rows.select("b", F.col("x.tri").alias("keys"), F.col("x.logp").alias("values"))
 
 
-def perplexity(df: DataFrame, key: str, text: str, language: str, low: float = 0.05, high: float = 0.995) -> DataFrame:
+#: Half width of a language's band, in standard deviations of the log perplexity as the median
+#: deviation estimates them: below the lower and above the upper.
+LOW_BAND, HIGH_BAND = 3.5, 3.5
+
+
+def perplexity(df: DataFrame, key: str, text: str, language: str, low: float = LOW_BAND, high: float = HIGH_BAND) -> DataFrame:
     """``(key, language, n_words, perplexity, verdict)``.
 
-    Verdict ``low`` or ``high``: beyond the language's ``low`` / ``high`` quantile of perplexity
-    over all documents of that language, taken as bands; ``ok`` otherwise; ``empty`` for texts
-    without words (perplexity null). A null language is the language ``und``. ``key`` must be
-    unique; the model is counted over every row.
+    Verdict ``low`` or ``high``: beyond the language's band, ``low`` / ``high`` robust deviations of log
+    perplexity below or above the median over all documents of that language, so that of alike texts
+    none falls out; ``ok`` otherwise; ``empty`` for texts without words (perplexity null). A null
+    language is the language ``und``. ``key`` must be unique; the model is counted over every row, the
+    scored one included.
+
+    Words travel packed: one row of arrays per slice of documents and bucket of the model. A bucket
+    whose trigrams are frequent is split by its own count, the others are not.
     """
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.lower(F.trim(language)), F.lit("und")).alias("l"))
     model = cut(kneser_ney(count_trigrams(docs, "t")))
-    size = model.agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
-    buckets = max(8, math.ceil(max(size.n or 0, size.c or 0) / GROUP_ROWS))
-    hot = model.groupBy(F.pmod("tri", F.lit(buckets)).alias("b")).agg(F.sum("c").alias("c")).agg(F.max("c").alias("m")).first().m or 0
-    salts = max(1, math.ceil(hot / (2 * GROUP_ROWS)))
+    buckets = max(8, math.ceil(model.count() / GROUP_ROWS))
+    load = {r.b: r.c for r in model.groupBy(F.pmod("tri", F.lit(buckets)).cast("int").alias("b")).agg(F.sum("c").alias("c")).collect()}  # one row a bucket
+    splits = np.array([max(1, math.ceil(load.get(b, 0) / (2 * GROUP_ROWS))) for b in range(buckets)])
+    held = df.sparkSession.sparkContext.broadcast(splits)
     kind = dict(df.dtypes)[key]
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
+        splits, n = held.value, 0
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 some = pdf.iloc[a : a + 500]
                 grams = [_grams(t, memo)[0] for t in some["t"]]
-                if not grams:
+                who = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+                if not len(who):
                     continue
-                who = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
                 tri = np.concatenate(grams).view(np.int64)
-                yield pd.DataFrame({"k": some["k"].to_numpy()[who], "tri": tri, "b": np.mod(tri, buckets).astype(np.int32)})
-
-    occurrences = docs.where(F.col("t").isNotNull()).select("k", "t").mapInPandas(spell, f"k {kind}, tri bigint, b int").withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
-    arrays = hash_arrays(model, buckets).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                b = np.mod(tri, buckets)
+                order = np.argsort(b, kind="stable")
+                who, tri, b = who[order], tri[order], b[order]
+                at = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b))
+                keys, out = some["k"].to_numpy(), []
+                for x, y in zip(at[:-1], at[1:]):
+                    n += 1
+                    own, place = np.unique(who[x:y], return_inverse=True)
+                    out.append((int(b[x]), n % int(splits[b[x]]), keys[own], place.astype(np.int32), tri[x:y]))
+                yield pd.DataFrame(out, columns=["b", "s", "ks", "who", "tri"])
+
+    packed = docs.where(F.col("t").isNotNull()).select("k", "t").mapInPandas(spell, f"b int, s int, ks array<{kind}>, who array<int>, tri array<bigint>")
+    copies = df.sparkSession.createDataFrame([(b, int(x)) for b, x in enumerate(splits)], "b int, splits int")
+    arrays = hash_arrays(model, buckets).join(broadcast_if_small(copies, buckets), "b").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"k": left["k"][:0], "n": np.zeros(0, np.int64), "lp": np.zeros(0)})
+            return pd.DataFrame({"k": [], "n": np.zeros(0, np.int64), "lp": np.zeros(0)})
         keys, values = np.asarray(right["keys"].iloc[0]), np.asarray(right["values"].iloc[0], np.float64)
-        lp = values[np.minimum(np.searchsorted(keys, left["tri"].to_numpy()), len(keys) - 1)]
-        out = pd.DataFrame({"k": left["k"], "lp": lp}).groupby("k", sort=False)["lp"].agg(["size", "sum"]).reset_index()
-        return out.rename(columns={"size": "n", "sum": "lp"})
+        out = []
+        for ks, who, tri in zip(left["ks"], left["who"], left["tri"]):
+            lp = values[np.minimum(np.searchsorted(keys, tri), len(keys) - 1)]
+            out.append(pd.DataFrame({"k": ks, "n": np.bincount(who, minlength=len(ks)), "lp": np.bincount(who, lp, len(ks))}))
+        return pd.concat(out)
 
-    scored = occurrences.groupBy("b", "s").cogroup(arrays.groupBy("b", "s")).applyInPandas(score, f"k {kind}, n bigint, lp double")
+    scored = packed.groupBy("b", "s").cogroup(arrays.groupBy("b", "s")).applyInPandas(score, f"k {kind}, n bigint, lp double")
     sums = scored.groupBy("k").agg(F.sum("n").alias("n"), F.sum("lp").alias("lp"))
-    per = docs.select("k", "l").join(sums, "k", "left").withColumn("ppl", F.exp(-F.col("lp") / F.col("n")))
-    bands = per.where("ppl is not null").groupBy("l").agg(F.percentile_approx("ppl", low, 10_000).alias("lo"), F.percentile_approx("ppl", high, 10_000).alias("hi"))
-    verdict = F.when(F.col("ppl").isNull(), "empty").when(F.col("ppl") < F.col("lo"), "low").when(F.col("ppl") > F.col("hi"), "high").otherwise("ok")
-    return per.join(bands, "l", "left").select(F.col("k").alias(key), F.col("l").alias("language"), F.coalesce("n", F.lit(0)).alias("n_words"), F.col("ppl").alias("perplexity"), verdict.alias("verdict"))
+    per = cut(docs.select("k", "l").join(sums, "k", "left").withColumn("x", -F.col("lp") / F.col("n")))
+    middle = per.where("x is not null").groupBy("l").agg(F.percentile_approx("x", 0.5, 10_000).alias("mid"))
+    languages = middle.count()
+    apart = per.join(broadcast_if_small(middle, languages), "l").groupBy("l", "mid").agg((1.4826 * F.percentile_approx(F.abs(F.col("x") - F.col("mid")), 0.5, 10_000)).alias("sd"))
+    verdict = F.when(F.col("x").isNull(), "empty").when(F.col("x") < F.col("mid") - low * F.col("sd"), "low").when(F.col("x") > F.col("mid") + high * F.col("sd"), "high").otherwise("ok")
+    return per.join(broadcast_if_small(apart, languages), "l", "left").select(F.col("k").alias(key), F.col("l").alias("language"), F.coalesce("n", F.lit(0)).alias("n_words"), F.exp("x").alias("perplexity"), verdict.alias("verdict"))

@@ -49,14 +49,14 @@ def test_metadata_of_whole_bodies(spark, tmp_path):
     bodies = [("a", "x" * 300 + "one"), ("b", "x" * 300 + "two"), ("c", " \n" + "y" * 500), ("d", None)]
     df = spark.createDataFrame(bodies, "doc_id string, body string")
     df.selectExpr("*", *[f"cast(null as {f.dataType.simpleString()}) {f.name}" for f in spark.read.parquet(f"{ROOT}/documents_md.parquet").schema if f.name not in df.columns]).write.parquet(f"{tmp_path}/documents_md.parquet")
-    got, want = _both(spark, "strip_metadata_whole", str(tmp_path))
+    got, want = _both(spark, "strip_metadata", str(tmp_path))
     assert got == want and len({digest for _, digest in got}) == 3
 
 
 def test_sparse_search_of_all_models(spark, tmp_path):
     rows = [("c0000", "base", {1: 1.0, 2: 2.0}), ("c0001", "base", {1: 3.0}), ("c0000", "mini", {1: 5.0}), ("c0001", "mini", {1: 7.0, 5: 0.5}), ("c0002", "mini", None), ("c0000", None, {1: 1.0})]
     spark.createDataFrame(rows, "chunk_id string, model string, sparse map<int,float>").write.parquet(f"{tmp_path}/embed_cache.parquet")
-    got, want = _both(spark, "search_sparse_models", str(tmp_path))
+    got, want = _both(spark, "search_sparse_topk", str(tmp_path))
     assert got == want and {(m, c, s) for m, q, c, s, _ in got if q == "c0000"} == {("base", "c0000", 5.0), ("base", "c0001", 3.0), ("mini", "c0001", 35.0), ("mini", "c0000", 25.0)}
-    got, want = _both(spark, "token_weights_models", str(tmp_path))
+    got, want = _both(spark, "token_weights_max", str(tmp_path))
     assert got == want == [("mini", "c0001", 5, 0.5)]  # ids up to 3 are special

@@ -164,5 +164,5 @@ def test_duplicate_lines_of_all_documents(spark, tmp_path):
                 urls.append(url.group())
         return "\n".join(out)
 
-    got = {r.doc_id: (r.digest, r.n) for r in QUERIES["clean_dup_lines_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.digest, r.n) for r in QUERIES["clean_dup_lines"](spark, str(tmp_path)).collect()}
     assert got == {k: (hashlib.sha1(brute(t).encode()).hexdigest(), len(brute(t))) for k, t in docs if t is not None}

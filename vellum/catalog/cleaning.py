@@ -45,14 +45,6 @@ def clean_repeated_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_dup_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without addresses, where the rule is first occurrence alone."""
-    ship(spark)
-    t = table(spark, d, "documents").where("text is not null and not text like '%http%'").select("doc_id", C.remove_duplicate_items(F.col("text")).alias("t"))
-    return t.select("doc_id", F.sha1("t").alias("digest"), F.length("t").alias("n"))
-
-
-def clean_dup_lines_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all documents, with the rule of addresses met before; no SQL."""
     ship(spark)
     t = spread(table(spark, d, "documents").where("text is not null")).select("doc_id", C.remove_duplicate_items(F.col("text")).alias("t"))
     return t.select("doc_id", F.sha1("t").alias("digest"), F.length("t").alias("n"))
@@ -126,7 +118,6 @@ QUERIES = {
     "clean_normalize_ws": _text_query(C.normalize_ws),
     "clean_repeated_urls": clean_repeated_urls,
     "clean_dup_lines": clean_dup_lines,
-    "clean_dup_lines_all": clean_dup_lines_all,
     "clean_text_full": clean_text_full,
     "chunk_identity": chunk_identity,
     "doc_identity": doc_identity,
@@ -171,11 +162,12 @@ SELECT k AS doc_id, sha1(t) AS digest, length(t) AS n
 FROM (SELECT k, regexp_replace(string_agg(l, chr(10) ORDER BY p), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM tidy GROUP BY k)""",
     "clean_control_chars": _text_sql(Q.sub("text", C.CONTROL)),
     "clean_normalize_ws": _text_sql(_normal("text")),
-    "clean_dup_lines": f"""WITH {Q.fenced('(SELECT * FROM documents WHERE NOT contains(text, $$http$$))')},
-keyed AS (SELECT *, regexp_replace(s, '^[-*]\\s+|^\\d+\\.\\s+', '') AS i FROM ls),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY k, i ORDER BY p) AS r FROM keyed)
+    "clean_dup_lines": f"""WITH {Q.fenced('documents')},
+keyed AS (SELECT *, nullif(regexp_extract(s, 'https?://[^{Q.BLANK[1:-1]})\\]]+'), '') AS u, regexp_replace(s, '^[-*]{Q.BLANK}+|^\\d+\\.{Q.BLANK}+', '') AS i FROM ls),
+met AS (SELECT *, u IS NOT NULL AND row_number() OVER (PARTITION BY k, u ORDER BY p) > 1 AS gone FROM keyed),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY k, gone, i ORDER BY p) AS r FROM met)
 SELECT k AS doc_id, sha1(t) AS digest, length(t) AS n
-FROM (SELECT k, coalesce(string_agg(CASE WHEN i = '' OR r = 1 THEN l END, chr(10) ORDER BY p), '') AS t FROM firsts GROUP BY k)""",
+FROM (SELECT k, coalesce(string_agg(CASE WHEN NOT gone AND (i = '' OR r = 1) THEN l END, chr(10) ORDER BY p), '') AS t FROM firsts GROUP BY k)""",
     "chunk_identity": f"SELECT DISTINCT doc_id, doc_id || '_' || left(sha1({_normal('chunk_text')}), 12) AS chunk_id FROM chunks WHERE chunk_text IS NOT NULL AND doc_id IS NOT NULL",
     "doc_identity": r"SELECT DISTINCT source_path, left(sha1(replace(source_path, '\', '/')), 16) AS doc_id FROM manifest WHERE source_path IS NOT NULL",
     "file_hash": "SELECT DISTINCT doc_id, sha256(body) AS file_hash FROM documents_md WHERE body IS NOT NULL",

@@ -13,7 +13,7 @@ from vellum.runtime import table
 
 
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q = table(spark, d, "evidence").where("query_id is not null").select("query_id").distinct().withColumn("text", F.concat(F.lit("Q"), F.col("query_id").cast("string")))
+    q = CS.asked(spark, d).withColumn("text", F.concat(F.lit("Q"), F.col("query_id").cast("string")))
     return q, S.post_filter(CS.hits(spark, d), ["norma", "interno"], 0.02)
 
 
@@ -85,12 +85,6 @@ def strip_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strip_metadata(spark: SparkSession, d: str) -> DataFrame:
-    t = F.expr("""concat('[{"label": "t", "bbox": [1, 2]}, {"label": "u", "bbox": [3]}]\\n', left(body, 200))""")
-    return _bodies(spark, d).select("doc_id", F.sha1(V.strip_metadata_prefix(t)).alias("digest")).distinct()
-
-
-def strip_metadata_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over whole bodies."""
     t = F.expr("""concat('[{"label": "t", "bbox": [1, 2]}, {"label": "u", "bbox": [3]}]\\n', body)""")
     return _bodies(spark, d).select("doc_id", F.sha1(V.strip_metadata_prefix(t)).alias("digest")).distinct()
 
@@ -116,6 +110,11 @@ def csv_to_pipes(spark: SparkSession, d: str) -> DataFrame:
 # --- quality ---------------------------------------------------------------------------------
 
 
+def _six(c: Column | str) -> Column:
+    """Six places; the shift keeps exact halves, which engines round differently, from the edge."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "engine_pages").select("doc", "page_num", "native_text", F.regexp_replace("ocr_text", "\r\n?", "\n").alias("ocr_text"), "confidence")
     return p.distinct()
@@ -141,25 +140,25 @@ def completeness_check(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
     q = _pages(spark, d).select("doc", "page_num", U.score_quality(F.col("ocr_text"), F.col("confidence")).alias("q"))
-    r = lambda c: F.round(F.col(f"q.{c}"), 6).alias(c)
+    r = lambda c: _six(f"q.{c}").alias(c)
     return q.select("doc", "page_num", *[r(c) for c in ("score", "alphanumeric_ratio", "symbol_ratio", "avg_line_length", "empty_line_ratio", "diacritic_ratio")], "q.char_count", "q.has_repeated_chars")
 
 
 def diacritic_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.round(U.diacritic_ratio(F.col("text")), 6).alias("ratio"), U.is_portuguese(F.col("text")).alias("portuguese"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", _six(U.diacritic_ratio(F.col("text"))).alias("ratio"), U.is_portuguese(F.col("text")).alias("portuguese"))
 
 
 def table_quality(spark: SparkSession, d: str) -> DataFrame:
-    return _bodies(spark, d).select("doc_id", U.looks_like_table(F.col("body")).alias("is_table"), F.round(U.table_quality(F.col("body")), 6).alias("quality")).distinct()
+    return _bodies(spark, d).select("doc_id", U.looks_like_table(F.col("body")).alias("is_table"), _six(U.table_quality(F.col("body"))).alias("quality")).distinct()
 
 
 def numeric_density(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).where("ocr_text is not null").select("doc", "page_num", F.round(U.numeric_density(F.col("ocr_text")), 6).alias("density"))
+    return _pages(spark, d).where("ocr_text is not null").select("doc", "page_num", _six(U.numeric_density(F.col("ocr_text"))).alias("density"))
 
 
 def router_decision(spark: SparkSession, d: str) -> DataFrame:
     r = _pages(spark, d).select("doc", "page_num", U.route(F.col("native_text"), F.col("ocr_text"), F.col("confidence"), 0.7).alias("r"))
-    return r.select("doc", "page_num", "r.method", F.round("r.value", 6).alias("value"), "r.accepted")
+    return r.select("doc", "page_num", "r.method", _six("r.value").alias("value"), "r.accepted")
 
 
 def native_text_check(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +235,7 @@ def items_by_page(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        prompt_context, sources_block, answer_flags, display_answer, html_table_to_markdown, doctags_to_markdown, strip_reasoning, strip_repetition, strip_metadata, strip_metadata_whole, strip_det,
+        prompt_context, sources_block, answer_flags, display_answer, html_table_to_markdown, doctags_to_markdown, strip_reasoning, strip_repetition, strip_metadata, strip_det,
         content_kind, clean_output, csv_to_pipes, word_set, number_set, content_overlap, completeness_check, quality_score, diacritic_ratio, table_quality, numeric_density,
         router_decision, native_text_check, page_confidence, quality_summary, heading_detect, list_item_detect, layout_items, median_font, table_item_markdown,
         document_markdown, document_stats, items_by_page,
@@ -260,7 +259,7 @@ def _path(sep: str) -> str:
 
 
 _SHORT = "CASE WHEN length(coalesce(snippet, '')) <= 70 THEN coalesce(snippet, '') ELSE regexp_replace(left(snippet, 70), '(?s) [^ ]*$', '') || ' […]' END"
-_SOURCES = f"""s AS (SELECT query_id, 'Sources:' || chr(10) || string_agg(printf('[%d] %s — %s (chunk_id=%s, score=%.3f)', place, coalesce(file_name, ''), {_path(' / ')}, chunk_id, score), chr(10) ORDER BY place) AS s FROM r GROUP BY query_id)"""
+_SOURCES = f"""s AS (SELECT query_id, 'Sources:' || chr(10) || string_agg(printf('[%d] %s — %s (chunk_id=%s, score=%.3f)', place, coalesce(file_name, ''), {_path(' / ')}, chunk_id, floor(score * 1000 + 0.5::DOUBLE) / 1000), chr(10) ORDER BY place) AS s FROM r GROUP BY query_id)"""
 
 
 def _digest(expression: str, ctes: str = "") -> str:
@@ -411,8 +410,7 @@ s AS (SELECT *, {Q.strip('l')} AS s FROM l),
 c AS (SELECT *, CASE WHEN length(s) >= 10 THEN row_number() OVER (PARTITION BY doc_id, t, s ORDER BY p) ELSE 0 END AS a, CASE WHEN length(s) >= 10 THEN sum(CASE WHEN length(s) >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, t, left(s, 40) ORDER BY p) ELSE 0 END AS b FROM s),
 m AS (SELECT doc_id, t, min(CASE WHEN a > 5 OR b > 10 THEN p END) AS cut FROM c GROUP BY ALL)
 SELECT DISTINCT doc_id, sha1(CASE WHEN cut = 1 THEN t ELSE {Q.strip('x')} END) AS digest FROM (SELECT c.doc_id, c.t, m.cut, coalesce(string_agg(CASE WHEN m.cut IS NULL OR p < m.cut THEN l END, chr(10) ORDER BY p), '') AS x FROM c JOIN m USING (doc_id, t) GROUP BY ALL)""",
-    "strip_metadata": "SELECT DISTINCT doc_id, sha1(regexp_replace(left(body, 200), '^\\s*\\n*', '')) AS digest FROM documents_md WHERE body IS NOT NULL",
-    "strip_metadata_whole": "SELECT DISTINCT doc_id, sha1(regexp_replace(body, '^\\s*\\n*', '')) AS digest FROM documents_md WHERE body IS NOT NULL",
+    "strip_metadata": "SELECT DISTINCT doc_id, sha1(regexp_replace(body, '^\\s*\\n*', '')) AS digest FROM documents_md WHERE body IS NOT NULL",
     "strip_det": _digest(Q.strip(_subs("'a b' || body || chr(10) || chr(10) || chr(10) || chr(10) || 'x'", [(r"<\|/?det\|>", "''"), (r"\n{3,}", _NL2)]))),
     "content_kind": f"""SELECT DISTINCT doc_id, regexp_matches(s, '^<(?:table|html|div|h)') OR contains(left(s, 500), '<table') AS html, contains(left(s, 200), '<doctag') AS doctags
 FROM (SELECT doc_id, lower({Q.strip('body')}) AS s FROM documents_md WHERE body IS NOT NULL)""",
@@ -428,15 +426,15 @@ FROM (SELECT doc_id, lower({Q.strip('body')}) AS s FROM documents_md WHERE body
  CAST(len(nn) AS INT) AS native_numbers, CAST(sn AS INT) AS shared_numbers, CAST(heads AS INT) AS output_headings FROM op""",
     "completeness_check": f"WITH {_PAGES}, {_OVERLAP} SELECT doc, page_num, (len(nw) = 0 OR wp >= 80) AND (len(nn) = 0 OR np >= 90) AS complete FROM op",
     "quality_score": f"""WITH {_PAGES}, src AS (SELECT doc, page_num, coalesce(ocr_text, '') AS t, coalesce(confidence, 1.0) AS cf FROM pg), {_score_ctes('src')}
-SELECT doc, page_num, round(score, 6) AS score, round(CASE WHEN short THEN 0 ELSE alnum END, 6) AS alphanumeric_ratio, round(CASE WHEN short THEN 1 ELSE symbol END, 6) AS symbol_ratio, round(CASE WHEN short THEN 0 ELSE line END, 6) AS avg_line_length,
- round(CASE WHEN short THEN 1 ELSE empty END, 6) AS empty_line_ratio, round(CASE WHEN short THEN 0 ELSE dia END, 6) AS diacritic_ratio, CAST(length(t) AS INT) AS char_count, NOT short AND rep AS has_repeated_chars FROM sc""",
-    "diacritic_ratio": f"SELECT doc_id, round({_dia('text')}, 6) AS ratio, {_pt('text')} AS portuguese FROM documents WHERE text IS NOT NULL",
-    "table_quality": f"SELECT DISTINCT doc_id, {_tableq('body')[0]} AS is_table, round({_tableq('body')[1]}, 6) AS quality FROM documents_md WHERE body IS NOT NULL",
-    "numeric_density": f"WITH {_PAGES} SELECT doc, page_num, round({_density('ocr_text')}, 6) AS density FROM pg WHERE ocr_text IS NOT NULL",
+SELECT doc, page_num, round(score + 1e-9::DOUBLE, 6) AS score, round(CASE WHEN short THEN 0 ELSE alnum END + 1e-9::DOUBLE, 6) AS alphanumeric_ratio, round(CASE WHEN short THEN 1 ELSE symbol END + 1e-9::DOUBLE, 6) AS symbol_ratio, round(CASE WHEN short THEN 0 ELSE line END + 1e-9::DOUBLE, 6) AS avg_line_length,
+ round(CASE WHEN short THEN 1 ELSE empty END + 1e-9::DOUBLE, 6) AS empty_line_ratio, round(CASE WHEN short THEN 0 ELSE dia END + 1e-9::DOUBLE, 6) AS diacritic_ratio, CAST(length(t) AS INT) AS char_count, NOT short AND rep AS has_repeated_chars FROM sc""",
+    "diacritic_ratio": f"SELECT doc_id, round({_dia('text')} + 1e-9::DOUBLE, 6) AS ratio, {_pt('text')} AS portuguese FROM documents WHERE text IS NOT NULL",
+    "table_quality": f"SELECT DISTINCT doc_id, {_tableq('body')[0]} AS is_table, round({_tableq('body')[1]} + 1e-9::DOUBLE, 6) AS quality FROM documents_md WHERE body IS NOT NULL",
+    "numeric_density": f"WITH {_PAGES} SELECT doc, page_num, round({_density('ocr_text')} + 1e-9::DOUBLE, 6) AS density FROM pg WHERE ocr_text IS NOT NULL",
     "router_decision": f"""WITH {_PAGES}, src AS (SELECT doc, page_num, {Q.strip("coalesce(native_text, '')")} AS nt, {Q.strip("coalesce(ocr_text, '')")} AS t, coalesce(confidence, 1.0) AS cf FROM pg), {_score_ctes('src')},
 w AS (SELECT *, {_words('nt')} AS nw, {_words('t')} AS ow, {_numbers('nt')} AS nn, {_numbers('t')} AS onn FROM sc),
 v AS (SELECT doc, page_num, length(nt) >= 20 AS ref, CASE WHEN length(nt) >= 20 THEN len(list_intersect(nw, ow)) / greatest(len(nw), 1)::DOUBLE * 0.7::DOUBLE + CASE WHEN len(nn) = 0 THEN 1 ELSE len(list_intersect(nn, onn)) / len(nn)::DOUBLE END * 0.3::DOUBLE ELSE score END AS value FROM w)
-SELECT doc, page_num, CASE WHEN ref THEN 'reference' ELSE 'heuristic' END AS method, round(value, 6) AS value, value >= 0.7::DOUBLE AS accepted FROM v""",
+SELECT doc, page_num, CASE WHEN ref THEN 'reference' ELSE 'heuristic' END AS method, round(value + 1e-9::DOUBLE, 6) AS value, value >= 0.7::DOUBLE AS accepted FROM v""",
     "native_text_check": f"WITH {_PAGES} SELECT doc, page_num, length({Q.strip("coalesce(native_text, '')")}) >= 50 AS ok FROM pg",
     "page_confidence": "SELECT doc, round(coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0), 9) AS confidence, count(*) AS pages FROM (SELECT DISTINCT * FROM engine_pages) GROUP BY doc",
     "quality_summary": "SELECT doc, count(*) AS total_items, count(*) FILTER (score >= 0.7) AS ok_items, count(*) FILTER (score < 0.7) AS low_items FROM (SELECT DISTINCT doc, page_num, score, measured_at FROM quality_report WHERE score IS NOT NULL) GROUP BY doc",

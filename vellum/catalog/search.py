@@ -53,20 +53,15 @@ def search_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embed_cache").where("sparse is not null").select("chunk_id", "model", "sparse").dropDuplicates(["chunk_id", "model"])
+    """One sparse vector per chunk and model, its ids made part of the model."""
+    one = table(spark, d, "embed_cache").where("sparse is not null and chunk_id is not null and model is not null").groupBy("chunk_id", "model").agg(F.min(F.array_sort(F.map_entries("sparse"))).alias("e"))
+    return one.select("chunk_id", "model", F.map_from_entries(F.transform("e", lambda x: F.struct(F.struct(F.col("model"), x["key"]).alias("key"), x["value"].alias("value")))).alias("sparse"))
 
 
 def search_sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Inner products within one model; questions: chunks whose hash number STEP divides."""
-    rows = _sparse_rows(spark, d).where("model like '%base%'")
-    asked = rows.where(F.conv(F.right("chunk_id", F.lit(4)), 16, 10).cast("int") % STEP == 0)
-    r = S.search_sparse(rows, asked.select(F.col("chunk_id").alias("query_id"), F.col("sparse").alias("v")), "chunk_id", "sparse")
-    return r.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
-
-
-def search_sparse_models(spark: SparkSession, d: str) -> DataFrame:
-    """The same over the vectors of all models, each question within its own model."""
-    rows = _sparse_rows(spark, d).where("model is not null").withColumn("sparse", F.transform_keys("sparse", lambda t, w: F.struct(F.col("model"), t)))
+    """Inner products, each question within its own model; questions: chunks whose id, a hexadecimal
+    number at its end, STEP divides."""
+    rows = _sparse_rows(spark, d)
     asked = rows.where(F.conv(F.right("chunk_id", F.lit(4)), 16, 10).cast("int") % STEP == 0)
     r = S.search_sparse(rows, asked.select(F.struct("model", "chunk_id").alias("query_id"), F.col("sparse").alias("v")), "chunk_id", "sparse")
     return r.select("query_id.model", F.col("query_id.chunk_id").alias("query_id"), F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
@@ -112,9 +107,22 @@ def retrieve_filtered_or(spark: SparkSession, d: str) -> DataFrame:
 # --- hits of the evidence table --------------------------------------------------------------
 
 
-def hits(spark: SparkSession, d: str, mode: str = "hybrid") -> DataFrame:
-    """Hits of one mode: the latest row per question and chunk, ranked by score."""
-    e = table(spark, d, "evidence").where((F.col("mode") == mode) & F.col("chunk_id").isNotNull() & F.col("query_id").isNotNull())
+MODES = ("dense", "fts", "sparse", "hybrid")
+
+
+def _asked() -> Column:
+    """A question in one mode is a question of its own: ten times its number and the mode's place."""
+    return F.col("query_id") * 10 + F.array_position(F.array(*[F.lit(m) for m in MODES]), F.lower(F.trim("mode")))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """``(query_id)``: all questions in all modes."""
+    return table(spark, d, "evidence").where("query_id is not null and mode is not null").select(_asked().alias("query_id")).distinct()
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of every question in every mode: the latest row per chunk, ranked by score."""
+    e = table(spark, d, "evidence").where("mode is not null and chunk_id is not null and query_id is not null").withColumn("query_id", _asked())
     late = e.groupBy("query_id", "chunk_id").agg(F.max(F.struct("retrieved_at", "score", "doc_id", "source_path", "file_name", "chunk_index", "snippet", "h1", "h2", "h3", "title", "tags")).alias("x"))
     return S.rank(late.select("query_id", "chunk_id", "x.*").where("score is not null"), 1_000_000, key="chunk_id")
 
@@ -130,7 +138,7 @@ def retrieve_tags_postfilter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieve_confidence(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "evidence").where("query_id is not null").select("query_id").distinct()
+    q = asked(spark, d)
     return S.confidence(S.post_filter(hits(spark, d), ["norma"], 0.03), q).select("query_id", F.round("confidence", 6).alias("confidence"), "hits")
 
 
@@ -140,7 +148,7 @@ def retrieve_batch_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return hits(spark, d, "dense").where("score >= 0.5").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return S.post_filter(hits(spark, d), threshold=0.5, per_doc=None, cap=None).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def conflict_flag(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +158,7 @@ def conflict_flag(spark: SparkSession, d: str) -> DataFrame:
 def reliability_retry(spark: SparkSession, d: str) -> DataFrame:
     """Questions whose first, filtered attempt found nothing or little, answered by the wider one."""
     first = S.post_filter(hits(spark, d).where("rank <= 4"), ["norma"], 0.02)
-    q = table(spark, d, "evidence").where("query_id is not null").select("query_id").distinct()
+    q = asked(spark, d)
     weak = S.confidence(first, q).where("hits = 0 or confidence < 0.02").select("query_id")
     again = S.post_filter(hits(spark, d).where("rank <= 8").join(weak, "query_id", "left_semi"), ["norma"], 0.02)
     both = first.join(weak, "query_id", "left_anti").withColumn("attempt", F.lit(0)).unionByName(again.withColumn("attempt", F.lit(1)))
@@ -185,7 +193,6 @@ QUERIES = {
     "search_fts_topk": search_fts_topk,
     "search_dense_topk": search_dense_topk,
     "search_sparse_topk": search_sparse_topk,
-    "search_sparse_models": search_sparse_models,
     "search_hybrid_rrf": search_hybrid_rrf,
     "search_semantic_rrf": search_semantic_rrf,
     "search_weighted": search_weighted,
@@ -262,11 +269,12 @@ s AS (SELECT query_id, doc_id, sum(s) AS score FROM u GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_ranked('s')}) WHERE rank <= 20"""
 
 
-def _hits(mode: str = "hybrid") -> str:
+def _hits() -> str:
     return f"""
+ev AS (SELECT * REPLACE (query_id * 10 + list_position({list(MODES)}, lower(trim(mode))) AS query_id) FROM evidence WHERE mode IS NOT NULL AND query_id IS NOT NULL),
 late AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY retrieved_at DESC NULLS LAST, score DESC NULLS LAST) AS n
-  FROM evidence WHERE mode = '{mode}' AND chunk_id IS NOT NULL AND query_id IS NOT NULL),
+  FROM ev WHERE chunk_id IS NOT NULL),
 h AS (SELECT * EXCLUDE (n, rank, mode), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank
       FROM late WHERE n = 1 AND score IS NOT NULL)"""
 
@@ -278,17 +286,12 @@ def _post(name: str, source: str = "h", tags: str = "", threshold: float = 0.0,
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM {name}1 WHERE nd <= {per_doc}) WHERE place <= {cap})"""
 
 
-_QS = "SELECT DISTINCT query_id FROM evidence WHERE query_id IS NOT NULL"
+_QS = "SELECT DISTINCT query_id FROM ev"
 
 SQL = {
     "search_fts_topk": _fts_sql(),
     "search_dense_topk": f"WITH {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM v",
-    "search_sparse_topk": f"""WITH one AS (SELECT DISTINCT chunk_id, sparse FROM embed_cache WHERE sparse IS NOT NULL AND model LIKE '%base%'),
-e AS (SELECT chunk_id, unnest(map_keys(sparse)) AS t, unnest(map_values(sparse)) AS w FROM one),
-scored AS (SELECT a.chunk_id AS query_id, b.chunk_id, sum(a.w::DOUBLE * b.w::DOUBLE) AS score FROM e a JOIN e b USING (t)
-  WHERE CAST('0x' || right(a.chunk_id, 4) AS INT) % {STEP} = 0 GROUP BY ALL)
-SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_ranked('scored', 'chunk_id')}) WHERE rank <= 20""",
-    "search_sparse_models": f"""WITH one AS (SELECT DISTINCT chunk_id, model, sparse FROM embed_cache WHERE sparse IS NOT NULL AND model IS NOT NULL),
+    "search_sparse_topk": f"""WITH one AS (SELECT DISTINCT chunk_id, model, sparse FROM embed_cache WHERE sparse IS NOT NULL AND model IS NOT NULL),
 e AS (SELECT chunk_id, model, unnest(map_keys(sparse)) AS t, unnest(map_values(sparse)) AS w FROM one),
 scored AS (SELECT a.model, a.chunk_id AS query_id, b.chunk_id, sum(a.w::DOUBLE * b.w::DOUBLE) AS score FROM e a JOIN e b ON a.t = b.t AND a.model = b.model
   WHERE CAST('0x' || right(a.chunk_id, 4) AS INT) % {STEP} = 0 GROUP BY ALL)
@@ -316,7 +319,7 @@ UNION ALL SELECT query_id, doc_id, 0.6::DOUBLE * CASE WHEN hi > lo THEN (score -
 SELECT qs.query_id, round(coalesce(max(score), 0), 6) AS confidence, count(score) AS hits FROM qs LEFT JOIN r ON r.query_id = qs.query_id GROUP BY qs.query_id""",
     "retrieve_batch_merge": f"""WITH {_hits()}, {_post('r')}, m AS (SELECT chunk_id, max(score) AS score, count(DISTINCT query_id) AS queries FROM r GROUP BY chunk_id)
 SELECT chunk_id, round(score, 6) AS score, queries FROM m ORDER BY round(m.score, 6) DESC, chunk_id LIMIT 8""",
-    "score_threshold": f"WITH {_hits('dense')} SELECT query_id, chunk_id, round(score, 6) AS score FROM h WHERE score >= 0.5",
+    "score_threshold": f"WITH {_hits()} SELECT query_id, chunk_id, round(score, 6) AS score FROM h WHERE score >= 0.5",
     "conflict_flag": f"""WITH {_hits()}, {_post('r')},
 two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n2 FROM r)
 SELECT query_id, count(*) = 2 AND count(DISTINCT doc_id) = 2 AND max(score) - min(score) <= 0.15::DOUBLE AS conflict FROM two WHERE n2 <= 2 GROUP BY query_id""",
@@ -326,7 +329,7 @@ h8 AS (SELECT * FROM h WHERE rank <= 8 AND query_id IN (SELECT query_id FROM wea
 SELECT query_id, chunk_id, CAST(place AS INT) AS place, 0 AS attempt FROM a WHERE query_id NOT IN (SELECT query_id FROM weak)
 UNION ALL SELECT query_id, chunk_id, CAST(place AS INT), 1 FROM b""",
     "retrieve_text": f"""WITH {_hits()}, {_post('r')}
-SELECT query_id, CAST(place AS INT) AS place, printf('[%d] %s  (score=%.3f)', place, array_to_string(list_filter([source_path, h1, h2], lambda x: x IS NOT NULL AND x <> ''), ' > '), score)
+SELECT query_id, CAST(place AS INT) AS place, printf('[%d] %s  (score=%.3f)', place, array_to_string(list_filter([source_path, h1, h2], lambda x: x IS NOT NULL AND x <> ''), ' > '), floor(score * 1000 + 0.5::DOUBLE) / 1000)
  || chr(10) || '    ' || left(coalesce(snippet, ''), 60) || CASE WHEN length(coalesce(snippet, '')) > 60 THEN '...' ELSE '' END AS line FROM r""",
     "retrieve_json": f"WITH {_hits()}, {_post('r')} SELECT query_id, CAST(count(*) AS INT) AS n, string_agg(chunk_id, ',' ORDER BY place) AS chunks FROM r GROUP BY query_id",
     "tags_overlap": "SELECT DISTINCT doc_id FROM documents_md WHERE list_has_any(tags, ['bomba', 'legado'])",

@@ -56,10 +56,15 @@ def context_block(i: Column, limit: int = 1600) -> Column:
     return F.concat(F.lit("["), i.cast("string"), F.lit("] "), section_path(" > ", F.col("h1"), F.col("h2"), F.col("h3")), F.lit("\n"), shorten(F.col("snippet"), limit))
 
 
+def shown_score() -> Column:
+    """The score to three places, halves up, so that every engine prints the same."""
+    return F.floor(F.col("score") * 1000 + 0.5) / 1000
+
+
 def source_line(i: Column) -> Column:
     """One numbered source of a hit row."""
     path = section_path(" / ", F.col("h1"), F.col("h2"), F.col("h3"))
-    return F.format_string("[%d] %s — %s (chunk_id=%s, score=%.3f)", i, F.coalesce("file_name", F.lit("")), path, F.col("chunk_id"), F.col("score"))
+    return F.format_string("[%d] %s — %s (chunk_id=%s, score=%.3f)", i, F.coalesce("file_name", F.lit("")), path, F.col("chunk_id"), shown_score())
 
 
 def _ordered(parts: Column, order: Column, sep: str) -> Column:
@@ -128,6 +133,11 @@ def answer(prompts: DataFrame, model: LanguageModel) -> DataFrame:
     return prompts.withColumn("text", call("system", "user"))
 
 
+def answer_with_sources(answers: DataFrame) -> DataFrame:
+    """``(query_id, text)``: the answer's text, a blank line and its sources."""
+    return answers.select("query_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.coalesce("sources", F.lit("Sources: (none)"))).alias("text"))
+
+
 def display(text: Column, sources: Column, insufficient: Column, conflict: Column) -> Column:
     """Answer, note on conflicts, sources; only a message if the context was insufficient."""
     note = F.when(conflict, F.lit("\n\n(sources conflict)")).otherwise(F.lit(""))
@@ -139,4 +149,4 @@ def hit_line(i: Column, limit: int = 300) -> Column:
     loc = F.array_join(F.filter(F.array("source_path", "h1", "h2"), lambda x: x.isNotNull() & (x != "")), " > ")
     snippet = F.coalesce("snippet", F.lit(""))
     tail = F.when(F.length(snippet) > limit, "...").otherwise("")
-    return F.concat(F.format_string("[%d] %s  (score=%.3f)\n    ", i, loc, F.col("score")), F.substring(snippet, 1, limit), tail)
+    return F.concat(F.format_string("[%d] %s  (score=%.3f)\n    ", i, loc, shown_score()), F.substring(snippet, 1, limit), tail)

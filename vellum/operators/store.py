@@ -59,6 +59,11 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return one.groupBy("model").agg(F.count_distinct("chunk_id").alias("entries"), F.count_if("full").alias("full_rows"))
 
 
+def invalidate_model(cache: DataFrame, model: str | None = None) -> DataFrame:
+    """A3: the cache without one model's entries, or empty."""
+    return delete_where(cache, F.lit(True) if model is None else F.col("model") == model)
+
+
 def ingest_report(diff: DataFrame, chunks: DataFrame, cached: DataFrame) -> DataFrame:
     """A2: counters of one run in one row."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)

@@ -140,9 +140,64 @@ def test_store(spark, tmp_path):
     assert s.stats()["rows"] == 1
     s.purge()
     assert s.stats() == {"version": 5, "rows": 0, "columns": 3}
+    s.upsert(one)
+    s.vacuum(1)
+    assert s.stats() == {"version": 6, "rows": 2, "columns": 3}
     assert K.fetch(one, ["c2"]).count() == 1 and K.fetch(one, []).count() == 0
 
 
+def test_two_writers_lose_no_update(spark, tmp_path, monkeypatch):
+    """Both start from one version; the slower one is built again on top of the other's."""
+    row = lambda k, v: spark.createDataFrame([(k, 0, v)], "chunk_id string, chunk_index int, language string")
+    monkeypatch.setattr(K, "PAUSE", 0.01)
+    a, b = K.Snapshots(spark, str(tmp_path)), K.Snapshots(spark, str(tmp_path))
+    a.upsert(row("x", "0"))
+    real, stale = b.version, [a.version()]
+    b.version = lambda: stale.pop() if stale else real()
+    a.upsert(row("y", "a"))
+    assert b.upsert(row("z", "b")) == 3
+    assert {r.chunk_id for r in a.read().collect()} == {"x", "y", "z"}
+    b.version = lambda: 1
+    with pytest.raises(K.Conflict):
+        b.upsert(row("w", "b"))
+    # A dead writer's lock is cleared once it is old.
+    (tmp_path / "current" / ".lock-4").touch()
+    monkeypatch.setattr(K, "STALE", -1)
+    assert a.upsert(row("v", "a")) == 4
+
+
+def test_deltas_are_merged_and_nulls_are_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "MAX_DELTAS", 3)
+    s = K.Snapshots(spark, str(tmp_path), ["k", "m"])
+    want = {}
+    for n in range(9):
+        rows = [(f"k{n % 4}", "a", n), (None, "b", n), (f"k{n}", None, n)]
+        want.update({(k, m): v for k, m, v in rows})
+        s.upsert(spark.createDataFrame(rows, "k string, m string, v int"), order=None)
+        assert {(r.k, r.m): r.v for r in s.read().collect()} == want
+        assert len(s._state(s.version())["deltas"]) <= 3
+    s.delete(F.col("v") < 7)
+    assert {(r.k, r.m): r.v for r in s.read().collect()} == {k: v for k, v in want.items() if v >= 7}
+
+
+@pytest.mark.parametrize("broken", ["index", "cache", "manifest"])
+def test_ingest_survives_a_crash_between_its_stores(spark, tmp_path, broken):
+    d = docs(spark, [("a", "1", "# Bomba\n\nA bomba principal mede o filtro."), ("b", "1", "A caldeira geral aquece a prensa.")])
+    job = Ingest(spark, str(tmp_path), stale="drop")
+    store = getattr(job, broken)
+
+    def fail(*_, **__):
+        raise OSError("lost")
+
+    store.upsert = fail
+    with pytest.raises(OSError):
+        job.run(d)
+    job = Ingest(spark, str(tmp_path), stale="drop")
+    assert job.run(d).first().new == 2
+    assert job.index.read().count() == 2 and job.cache.read().count() == 2 and job.manifest.read().count() == 2
+    assert job.run(d).first().unchanged == 2
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(d, f"{d}.md", f"{d}.md", h, b, d, "pt", "manual", ["t"], 1) for d, h, b in rows], "doc_id string, source_path string, file_name string, file_hash string, body string, title string, language string, doc_type string, tags array<string>, ingested_at bigint")
 

@@ -1,11 +1,18 @@
 """Persistent collections K1-K4, K8, R14-R16, manifest and cache joins J1-J5, A2, A3.
 
-A collection is a folder of versioned Parquet snapshots and a pointer to the current one. A write
-makes a new snapshot and swaps the pointer last; readers resolve the pointer once and never lock.
+A collection is a folder of Parquet bases and deltas and a marker per version that names what belongs
+to it; a write makes its marker last, and readers resolve one marker and never lock.
 """
 
 from __future__ import annotations
 
+import json
+import random
+import time
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
@@ -79,58 +86,175 @@ def token_weights(tokens: DataFrame, special: tuple[int, ...] = (0, 1, 2, 3)) ->
     return tokens.where(ok).groupBy("text_id", "token_id").agg(F.max("weight").alias("weight"))
 
 
+#: Deltas a collection may carry before a write merges them into a new base.
+MAX_DELTAS = 16
+#: Attempts of a commit against other writers, and seconds of the first pause between two.
+ATTEMPTS, PAUSE = 5, 0.5
+#: Seconds after which a lock without its marker is taken for a dead writer's.
+STALE = 60
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first, ``ATTEMPTS`` times."""
+
+
 class Snapshots:
-    """K2, K3, K8: the versioned folder."""
+    """K1-K3, K8: a collection on shared storage.
+
+    A version is a marker file that names a base folder and the deltas on top of it. Upserts and
+    deletes write only their own rows and a marker; readers take the last row of every key, and
+    :meth:`optimize`, or every ``MAX_DELTAS`` writes, merges. Markers are created exclusively, so of two
+    writers that started from one version one commits and the other tries again on top of it; data
+    folders have names of their own and are seen only once a marker names them. ``key``: the columns
+    that identify a row.
+    """
 
-    def __init__(self, spark: SparkSession, home: str):
+    def __init__(self, spark: SparkSession, home: str, key: str | list[str] = "chunk_id"):
         self.spark, self.home = spark, home.rstrip("/")
+        self.key = [key] if isinstance(key, str) else list(key)
         self._fs = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _path(self, name: str):
         return self._fs.Path(f"{self.home}/{name}")
 
+    def _system(self):
+        return self._path("").getFileSystem(self._conf)
+
     def version(self) -> int:
         """Current version; 0 if nothing was ever written."""
-        fs = self._path("").getFileSystem(self._conf)
+        fs = self._system()
         if not fs.exists(self._path("current")):
             return 0
         marks = [s.getPath().getName() for s in fs.listStatus(self._path("current"))]
         return max((int(m) for m in marks if m.isdigit()), default=0)
 
+    def _state(self, version: int) -> dict:
+        """Base and deltas of a version."""
+        if not version:
+            return {"base": None, "deltas": []}
+        stream = self._system().open(self._path(f"current/{version}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, state: dict) -> bool:
+        """Whether ``version`` could be made with this state; False if it exists.
+
+        The state is written aside and renamed, so a marker is never seen half written; a rename onto
+        an existing file fails."""
+        fs = self._system()
+        fs.mkdirs(self._path("current"))
+        aside, mark = self._path(f"current/.{uuid.uuid4().hex}"), self._path(f"current/{version}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        lock = self._path(f"current/.lock-{version}")
+        try:
+            fs.create(lock, False).close()  # exclusive on every file system
+        except Exception:  # noqa: BLE001 - the file system's own exists error
+            fs.delete(aside, False)
+            # A writer that died between lock and marker must not block the rest.
+            if fs.exists(lock) and not fs.exists(mark) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > STALE:
+                fs.delete(lock, False)
+            return False
+        return bool(fs.rename(aside, mark))
+
+    def _change(self, make: Callable[[int, dict], dict]) -> int:
+        """Commits what ``make`` builds on the current version, again if another writer was faster."""
+        for attempt in range(ATTEMPTS):
+            v = self.version()
+            if self._commit(v + 1, make(v, self._state(v))):
+                return v + 1
+            time.sleep(PAUSE * 2**attempt * (1 + random.random()))
+        raise Conflict(self.home)
+
+    def _put(self, df: DataFrame) -> str:
+        name = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.home}/{name}")
+        return name
+
+    def _load(self, state: dict) -> DataFrame:
+        """Rows of a state: those of the base that no delta names, and of the deltas the last of each key."""
+        base = self.spark.read.parquet(f"{self.home}/{state['base']}")
+        if not state["deltas"]:
+            return base
+        deltas = None
+        for n, name in enumerate(state["deltas"]):
+            one = self.spark.read.parquet(f"{self.home}/{name}").withColumn("_n", F.lit(n))
+            deltas = one if deltas is None else deltas.unionByName(one)
+        last = deltas.withColumn("_r", F.row_number().over(W.partitionBy(*self.key).orderBy(F.desc("_n")))).where("_r = 1")
+        hidden = base.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(self.key)]).columns
+        met = last.select(*[F.col(k).alias(b) for k, b in zip(self.key, hidden)])
+        same = [base[k].eqNullSafe(met[b]) for k, b in zip(self.key, hidden)]
+        kept = base.join(met, reduce(lambda x, y: x & y, same), "left_anti")
+        return kept.unionByName(last.where("not _gone").drop("_n", "_r", "_gone"))
+
     def read(self, schema: str | None = None) -> DataFrame:
         v = self.version()
         if v == 0:
             if schema is None:
                 raise FileNotFoundError(f"no snapshot in {self.home}")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.home}/v={v}")
+        return self._load(self._state(v))
 
     def write(self, df: DataFrame) -> int:
-        """A new snapshot; the pointer is a marker file created last, which is atomic."""
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.home}/v={v}")
-        fs = self._path("").getFileSystem(self._conf)
-        fs.mkdirs(self._path("current"))
-        fs.create(self._path(f"current/{v}"), True).close()
-        return v
-
-    def upsert(self, batch: DataFrame, key: str = "chunk_id", order: str = "chunk_index") -> int:
-        if self.version() == 0:
-            return self.write(upsert(batch.limit(0), batch, key, order))
-        return self.write(upsert(self.read(), batch, key, order))
+        """A new base without deltas; it replaces whatever was there."""
+        name = self._put(df)
+        return self._change(lambda v, state: {"base": name, "deltas": []})
+
+    def _delta(self, name: str, schema: DataFrame) -> int:
+        def make(v: int, state: dict) -> dict:
+            if not state["base"]:
+                state = {"base": self._put(schema.limit(0).drop("_gone")), "deltas": []}
+            state = {"base": state["base"], "deltas": [*state["deltas"], name]}
+            return {"base": self._put(self._load(state)), "deltas": []} if len(state["deltas"]) > MAX_DELTAS else state
+
+        return self._change(make)
+
+    def upsert(self, batch: DataFrame, order: str | None = "chunk_index", gone: DataFrame | None = None) -> int:
+        """K1: rows of the batch replace stored rows of the same key; of one key in the batch the
+        highest ``order`` counts. ``gone``: keys that are deleted in the same version."""
+        if order:
+            best = W.partitionBy(*self.key).orderBy(F.desc(order))
+            batch = batch.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+        rows = batch.withColumn("_gone", F.lit(False))
+        if gone is not None:
+            lost = gone.select(*self.key).distinct().join(batch.select(*self.key), self.key, "left_anti").withColumn("_gone", F.lit(True))
+            rows = rows.unionByName(lost, allowMissingColumns=True)
+        return self._delta(self._put(rows), rows)
 
     def delete(self, predicate: Column) -> int:
-        return self.write(delete_where(self.read(), predicate))
+        """Rows for which the predicate is true; only their keys are written."""
+        now = self.read()
+        gone = now.where(F.coalesce(predicate, F.lit(False))).select(*self.key).distinct().withColumn("_gone", F.lit(True))
+        rows = now.limit(0).withColumn("_gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+        return self._delta(self._put(rows), rows)
 
     def purge(self) -> int:
         """All rows; the schema stays."""
         return self.write(self.read().limit(0))
 
     def optimize(self, partitions: int, *keys: str) -> int:
-        """K8: rewrite in few files, sorted so that min/max statistics prune."""
-        df = self.read()
-        return self.write(df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys))
+        """K8: one base in few files, sorted so that min/max statistics prune. A write that comes
+        between makes it start again, so none is lost."""
+
+        def make(v: int, state: dict) -> dict:
+            return {"base": self._put(self._load(state).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)), "deltas": []}
+
+        return self._change(make)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes markers older than the last ``keep`` versions and data that no kept one names; no
+        writer may be at work."""
+        fs, v = self._system(), self.version()
+        kept = {n for m in range(max(1, v - keep + 1), v + 1) for s in [self._state(m)] for n in [s["base"], *s["deltas"]]}
+        for m in range(1, max(1, v - keep + 1)):
+            fs.delete(self._path(f"current/{m}"), False)
+        for s in fs.listStatus(self._path("data")):
+            if f"data/{s.getPath().getName()}" not in kept:
+                fs.delete(s.getPath(), True)
 
     def stats(self) -> dict:
         """R16."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions.vectors import hash_embed, hash_embed_sparse
 from vellum.operators.chunking import ChunkSettings, chunk_documents, parents_h123
-from vellum.operators.store import Snapshots, cache_misses, delete_where, ingest_report, manifest_diff, reassemble, upsert
+from vellum.operators.store import Snapshots, cache_misses, ingest_report, manifest_diff, reassemble
 from vellum.runtime import cut
 
 #: Columns of the index, in order.
@@ -48,7 +48,7 @@ class Ingest:
         if stale not in ("keep", "drop"):
             raise ValueError("stale must be keep or drop")
         self.spark, self.settings, self.embedder, self.stale = spark, settings, embedder or Embedder(), stale
-        self.index, self.manifest, self.cache = (Snapshots(spark, f"{home}/{n}") for n in ("index", "manifest", "cache"))
+        self.index, self.manifest, self.cache = (Snapshots(spark, f"{home}/{n}", k) for n, k in (("index", "chunk_id"), ("manifest", "doc_id"), ("cache", ["chunk_id", "model"])))
 
     def run(self, documents: DataFrame) -> DataFrame:
         """One run over ``documents_md`` rows; returns the report."""
@@ -64,16 +64,16 @@ class Ingest:
         report = cut(ingest_report(diff, chunks, vectors.select(F.col("cached").alias("hit"))))
         rows = index_rows(todo, chunks, vectors, self.embedder.sparse)
         gone = diff.where("status = 'removed'").select("doc_id")
-        stored = self.index.read() if self.index.version() else rows.limit(0)
-        kept = stored.join(gone, "doc_id", "left_anti")
-        if self.stale == "drop":
-            kept = kept.join(todo.select("doc_id"), "doc_id", "left_anti")
-        self.index.write(upsert(kept, rows))
-        self.cache.write(cached.unionByName(fresh.select("chunk_id", "model", "dense")).dropDuplicates(["chunk_id", "model"]))
-        # A document without chunks stays unknown, so the next run sees it as new again.
-        entries = todo.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi").select(*[c.split()[0] for c in MANIFEST.split(", ")])
-        left = known.join(gone, "doc_id", "left_anti").join(entries.select("doc_id"), "doc_id", "left_anti")
-        self.manifest.write(left.unionByName(entries))
+        old = gone.unionByName(todo.select("doc_id")).distinct() if self.stale == "drop" else gone
+        lost = self.index.read().join(old, "doc_id", "left_semi").select("chunk_id") if self.index.version() else None
+        self.index.upsert(rows, gone=lost)
+        self.cache.upsert(fresh.select("chunk_id", "model", "dense"), order=None)
+        # A document without chunks stays unknown, so the next run sees it as new again. The manifest is
+        # written last: a run that fails before it is repeated whole, and its upserts change nothing.
+        names = [c.split()[0] for c in MANIFEST.split(", ")]
+        entries = todo.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"])
+        unknown = gone.unionByName(todo.select("doc_id"))
+        self.manifest.upsert(entries, order=None, gone=unknown)
         return report
 
     def reindex(self, documents: DataFrame, purge: bool = False) -> DataFrame:
@@ -81,5 +81,5 @@ class Ingest:
         if purge and self.index.version():
             self.index.purge()
         if self.manifest.version():
-            self.manifest.write(delete_where(self.manifest.read(), F.lit(True)))
+            self.manifest.purge()
         return self.run(documents)

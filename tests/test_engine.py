@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import chunking as H, docmodel as D, generation as G, search as S, store as K
+from vellum.functions import vectors as V
+from vellum.operators import chunking as H, docmodel as D, generation as G, pages as P, search as S, store as K
 from vellum.operators.filters import Filters, parse_filters, tag_overlap
 from vellum.plans import query as Q
 from vellum.plans.ingest import Ingest
+from vellum.sources import files
 from vellum.streaming.ingest import ingest_stream, stream_documents
 
 SMALL = H.ChunkSettings(target=20, min=5, max=40)
@@ -224,6 +226,77 @@ def test_ingest_and_query(spark, tmp_path):
     assert job.reindex(docs(spark, [("b", "2", "A caldeira nova aquece a prensa.")]), purge=True).first().new == 1
 
 
+def test_retriever_uses_its_cache(spark, tmp_path):
+    job = Ingest(spark, str(tmp_path))
+    job.run(docs(spark, [("a", "1", "# Bomba\n\nA bomba principal mede o filtro."), ("b", "1", "A caldeira geral aquece a prensa.")]))
+    r = Q.Retriever(job.index.read(), Q.RetrievalSettings(mode="fts"))
+    assert {(x.query_id, x.doc_id) for x in r.retrieve(["caldeira", "bomba", "caldeira"]).collect()} == {(1, "b"), (2, "a"), (3, "b")}
+    assert r.cache_stats() == {"size": 2, "hits": 1, "misses": 2, "hit_rate": 1 / 3}
+    assert {x.query_id for x in r.retrieve(["bomba", None], mode="dense").collect()} == {1} and r.cache_stats()["hits"] == 2
+    text = r.answer(["caldeira"]).transform(G.answer_with_sources).first().text
+    assert "\n\nSources:\n[1] b.md" in text
+    r.invalidate_cache()
+    assert r.cache_stats()["size"] == 0
+
+
+def test_manifest_file(spark, tmp_path):
+    import json
+
+    good = {"doc_id": "a", "source_path": "x\\y/a.md", "file_hash": "h"}
+    rows = [good, {**good, "file_hash": "h2", "tags": ["t"], "ingested_at": 5}, {"doc_id": "b"}, {"doc_id": None, "source_path": "p", "file_hash": "h"}, "bad", 7, {**good, "doc_id": "c", "file_name": "n", "language": "pt"}]
+    (tmp_path / "m.json").write_text(json.dumps({"entries": rows}, indent=1))
+    got = {r.doc_id: r.asDict() for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()}
+    assert got == {
+        "a": {"doc_id": "a", "source_path": "x\\y/a.md", "file_name": "a.md", "file_hash": "h2", "ingested_at": 5, "language": "und", "doc_type": None, "tags": ["t"]},
+        "c": {"doc_id": "c", "source_path": "x\\y/a.md", "file_name": "n", "file_hash": "h", "ingested_at": 0, "language": "pt", "doc_type": None, "tags": []},
+    }
+    for text in ("{broken", "", "[]", "{}"):
+        (tmp_path / "m.json").write_text(text)
+        assert files.read_manifest(spark, str(tmp_path / "m.json")).count() == 0
+    assert files.read_manifest(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_readings_and_page_results(spark, tmp_path):
+    long = "Texto nativo da página com mais de cinquenta sinais, sem dúvida."
+    rows = [(1, long, "x", "y"), (2, "a", "A leitura clássica desta página é boa e tem linhas de tamanho comum.", "y"), (3, None, "|| ~~ ^^", "fallback"), (4, None, None, "fallback"), (5, "", None, None)]
+    df = spark.createDataFrame(rows, "page int, native string, classic string, ai string")
+    pick = lambda mode, ai=P.Reading("ai", "ai"): {r.page: (r.r.engine, r.r.status) for r in df.select("page", P.resolve(F.col("native"), [P.Reading("c", "classic")], ai, mode).alias("r")).collect()}
+    assert pick("hybrid") == {1: ("native", "ok"), 2: ("c", "ok"), 3: ("ai", "ok"), 4: ("ai", "ok"), 5: ("ai", "failed")}
+    assert pick("hybrid", None)[3] == (None, "failed") and pick("classic_only")[4] == ("c", "failed") and pick("legacy")[1] == ("ai", "ok")
+    with pytest.raises(ValueError):
+        P.resolve(F.col("native"), [], None, "other")
+    store = P.PageResults(spark, str(tmp_path / "p"))
+    pages = spark.createDataFrame([("d", 1), ("d", 2), ("d", 10), ("e", 1)], "doc string, page int")
+    new = lambda rows: spark.createDataFrame(rows, "doc string, page int, format string, content string, status string")
+    assert store.read().count() == 0 and P.pending(pages, store.read(), ["json"]).count() == 4
+    store.append(new([("d", 10, "json", "{}", "ok"), ("d", 1, "json", "1", "ok"), ("d", 2, "json", None, "failed")]), 1)
+    assert {(r.doc, r.page) for r in P.pending(pages, store.read(), ["json"]).collect()} == {("d", 2), ("e", 1)}
+    store.append(new([("d", 2, "json", "2", "ok"), ("d", 1, "json", "1b", "ok")]), 2)
+    store.append(new([("d", 2, "json", "2", "ok"), ("d", 1, "json", "1b", "ok")]), 2)  # repeated
+    done = store.drop_finished(pages, ["json"], 3).collect()
+    assert [(r.doc, r.content, r.pages) for r in done] == [("d", "[\n1b,\n2,\n{}\n]", 3)] and store.read().count() == 0
+
+
+def test_blocks_tables_and_exports(spark):
+    assert V.unpack_sparse(V.pack_sparse({5: 0.5, 1: -2.0})) == {1: -2.0, 5: 0.5} and V.pack_sparse({}) is None and V.unpack_sparse(b"\0\0\0\0") is None
+    lines = "array<struct<spans:array<struct<text:string,font:string,size:double,flags:int>>>>"
+    b = spark.createDataFrame([(1, [([("a ", "X-Bold", 9.0, 0), ("b", None, None, None)],), (None,)], [1.0, 2.0, 3.0, 4.0]), (2, None, None), (3, [([("t", "x", 1.0, 2)],)], [1.0])], f"k int, l {lines}, b array<double>")
+    got = {r.k: (r.bold, r.f.font_name, r.t, r.b.x1) for r in b.select("k", D.block_is_bold(F.col("l")).alias("bold"), D.block_font(F.col("l")).alias("f"), D.block_text(F.col("l")).alias("t"), D.block_bbox(F.col("b")).alias("b")).collect()}
+    assert got == {1: (True, "X-Bold", "a b", 3.0), 2: (False, None, "", 0.0), 3: (True, "x", "t", 0.0)}
+    t = spark.createDataFrame([(1, [[" h ", None], [" "], ["a", "b"]]), (2, [["only"]]), (3, [[" "]]), (4, []), (5, None)], "k int, d array<array<string>>")
+    got = {r.k: r.t and (r.t.rows, r.t.headers) for r in t.select("k", D.table_item(F.col("d")).alias("t")).collect()}
+    assert got == {1: ([["a", "b"]], ["h", ""]), 2: ([["only"]], []), 3: None, 4: None, 5: None}
+    schema = "doc string, item_id string, kind string, body_pos int, page_num int, text string, heading_level int, rows array<array<string>>, headers array<string>, caption string, ordered boolean, children array<string>, confidence double"
+    item = lambda i, kind, pos, text=None, **k: ("d", i, kind, pos, 1, text, k.get("level"), k.get("rows"), k.get("headers"), k.get("caption"), k.get("ordered"), k.get("children"), 1.0)
+    items = spark.createDataFrame([item("h", "heading", 1, "T", level=9), item("t", "text", None, "one"), item("u", "text", None, "two"), item("l", "list", 2, children=["u", "t", "zz"], ordered=True), item("e", "list", 3), item("b", "table", 4, rows=[["1"]]), item("p", "picture", 5), item("w", "text", 6, " ")], schema)
+    assert D.document_markdown(items).first().markdown == "\n###### T\n\n1. two\n1. one\n\n| --- |\n| 1 |\n\n\n[Imagem: Image]\n"
+    assert D.document_html(items).first().html.split("\n") == ['<!DOCTYPE html><html><head><meta charset="utf-8">', "<title>d</title>", "</head><body>", "<h6>T</h6>", "<ol>", "<li>two</li>", "<li>one</li>", "</ol>", "<ul>", "</ul>", "<table>", "<tbody>", "<tr>", "<td>1</td>", "</tr>", "</tbody></table>", "<figure><figcaption>Image</figcaption></figure>", "</body></html>"]
+    scored = {r.item_id: (r.confidence, r.quality.acceptable) for r in D.score_items(items).collect()}
+    assert scored["p"] == (1.0, True) and scored["h"] == (0.0, False) and scored["w"] == (0.0, False)
+    assert [r.item_id for r in D.body_items(items).orderBy("place").collect()] == ["h", "l", "e", "b", "p", "w"]
+    assert D.document_json(items.limit(0)).count() == D.document_html(items.limit(0)).count() == 0
+
+
 def test_streaming_ingest(spark, tmp_path):
     d = docs(spark, [("a", "1", "A bomba principal mede o filtro.")])
     d.write.parquet(str(tmp_path / "in"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from vellum.functions import vectors as V
 from vellum.operators import search as S
 from vellum.operators.filters import Filters, tag_overlap
 from vellum.operators.generation import hit_line
@@ -183,6 +184,21 @@ def tags_overlap(spark: SparkSession, d: str) -> DataFrame:
     return m.where(tag_overlap(F.col("tags"), ["bomba", "legado"])).select("doc_id").distinct()
 
 
+def evidence_projection(spark: SparkSession, d: str) -> DataFrame:
+    """F19 over all rows of the table."""
+    e = S.evidence(table(spark, d, "evidence").withColumn("query_id", _asked()).distinct())
+    return e.select("query_id", "chunk_id", "doc_id", F.round("score", 6).alias("score"), "chunk_index", F.length("snippet").alias("signs"), F.size("tags").alias("n_tags"), "h1", "title").distinct()
+
+
+def sparse_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Every sparse vector packed and read back."""
+    ship(spark)
+    e = table(spark, d, "embed_cache").where("chunk_id is not null and model is not null").select("chunk_id", "model", "sparse", V.encode_sparse(F.col("sparse")).alias("b"))
+    e = e.withColumn("back", V.decode_sparse(F.col("b")))
+    total = F.aggregate(F.map_values("back"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return e.select("chunk_id", "model", F.length("b").alias("bytes"), F.size("back").alias("n"), F.round(total, 4).alias("total"), F.array_max(F.map_keys("back")).alias("last")).where("bytes is not null").distinct()
+
+
 def rank_within_document(spark: SparkSession, d: str) -> DataFrame:
     """Place of each chunk of the hybrid list within its document."""
     w = W.partitionBy("query_id", "doc_id").orderBy("rank")
@@ -214,6 +230,8 @@ QUERIES = {
     "retrieve_json": retrieve_json,
     "tags_overlap": tags_overlap,
     "rank_within_document": rank_within_document,
+    "evidence_projection": evidence_projection,
+    "sparse_codec": sparse_codec,
 }
 
 # --- SQL -------------------------------------------------------------------------------------
@@ -334,4 +352,8 @@ SELECT query_id, CAST(place AS INT) AS place, printf('[%d] %s  (score=%.3f)', pl
     "retrieve_json": f"WITH {_hits()}, {_post('r')} SELECT query_id, CAST(count(*) AS INT) AS n, string_agg(chunk_id, ',' ORDER BY place) AS chunks FROM r GROUP BY query_id",
     "tags_overlap": "SELECT DISTINCT doc_id FROM documents_md WHERE list_has_any(tags, ['bomba', 'legado'])",
     "rank_within_document": f"WITH {_hits()} SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS INT) AS place FROM h",
+    "evidence_projection": f"""SELECT DISTINCT query_id * 10 + list_position({list(MODES)}, lower(trim(mode))) AS query_id, coalesce(chunk_id, '') AS chunk_id, coalesce(doc_id, '') AS doc_id, round(coalesce(score, 0), 6) AS score,
+ coalesce(chunk_index, 0) AS chunk_index, CAST(length(coalesce(snippet, '')) AS INT) AS signs, CAST(len(coalesce(tags, [])) AS INT) AS n_tags, h1, title FROM evidence""",
+    "sparse_codec": """SELECT DISTINCT chunk_id, model, CAST(4 + 8 * len(map_keys(sparse)) AS INT) AS bytes, CAST(len(map_keys(sparse)) AS INT) AS n, round(list_sum(list_transform(map_values(sparse), lambda x: x::DOUBLE)), 4) AS total, list_max(map_keys(sparse)) AS last
+FROM embed_cache WHERE chunk_id IS NOT NULL AND model IS NOT NULL AND len(map_keys(sparse)) > 0""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vellum.functions.text import BLANK, lines, strip
+from vellum.functions.text import BLANK, let, lines, strip
 
 #: Common words of four letters or more, which word sets leave out (fixed values).
 STOPWORDS = (
@@ -41,7 +41,7 @@ def heading_lines(c: Column) -> Column:
 
 def _share(c: Column, outside: str) -> Column:
     """Share of the signs that remain when everything matching ``outside`` is removed."""
-    return F.length(F.regexp_replace(c, outside, "")) / F.length(c)
+    return F.length(F.regexp_replace(c, outside, "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def overlap(native: Column, output: Column) -> Column:
@@ -73,56 +73,93 @@ def numeric_density(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(_share(c, r"[^\p{Nd}.%,;()\[\]]"))
 
 
+def _full_lines(ls: Column) -> Column:
+    """``array<struct<s, p>>``: stripped lines that are not blank, and their columns, null without a pipe."""
+    cols = lambda l: F.when(l.contains("|"), F.length(F.regexp_replace(F.regexp_replace(l, r"\A\|+|\|+\z", ""), r"[^|]", "")))
+    return F.filter(F.transform(ls, lambda l: F.struct(strip(l).alias("s"), cols(l).alias("p"), F.length(l).alias("n"))), lambda x: x["s"] != "")
+
+
+def _is_table(full: Column) -> Column:
+    body = F.filter(full, lambda x: ~x["s"].startswith("#"))
+    pipes = F.size(F.filter(body, lambda x: x["p"].isNotNull()))
+    return (F.size(body) >= 3) & (pipes >= 2) & (pipes / F.greatest(F.size(body), F.lit(1)) >= MIN_PIPES)
+
+
+def _table_quality(full: Column) -> Column:
+    """Share of lines with pipes, and of rows with the usual number of columns: the longest run of
+    equal numbers in sorted order, found in one pass."""
+
+    def score(cols: Column) -> Column:
+        n = F.size(cols)
+        share = n / F.greatest(F.size(full), F.lit(1))
+        start = F.struct(F.lit(-1).alias("v"), F.lit(0).alias("k"), F.lit(0).alias("best"))
+
+        def step(a, v):
+            k = F.when(a["v"] == v, a["k"] + 1).otherwise(1)
+            return F.struct(v.alias("v"), k.alias("k"), F.greatest(a["best"], k).alias("best"))
+
+        usual = F.aggregate(cols, start, step, lambda a: a["best"])
+        return F.when(n == 0, F.lit(0.0)).when(share < MIN_PIPES, share / MIN_PIPES).when(n < 3, share).otherwise(share * 0.3 + usual / n * 0.7)
+
+    return let(F.array_sort(F.filter(F.transform(full, lambda x: x["p"]), lambda p: p.isNotNull())), score)
+
+
 def looks_like_table(c: Column) -> Column:
-    full = F.filter(lines(c), lambda l: (strip(l) != "") & ~strip(l).startswith("#"))
-    pipes = F.size(F.filter(full, lambda l: l.contains("|")))
-    return (F.size(full) >= 3) & (pipes >= 2) & (pipes / F.size(full) >= MIN_PIPES)
+    return let(_full_lines(lines(c)), _is_table)
 
 
 def table_quality(c: Column) -> Column:
     """Share of lines with pipes and of rows with the usual number of columns."""
-    full = F.filter(lines(c), lambda l: strip(l) != "")
-    pipes = F.filter(full, lambda l: l.contains("|"))
-    n = F.size(pipes)
-    share = n / F.greatest(F.size(full), F.lit(1))
-    # Columns of a row: its inner pipes and one more.
-    cols = F.transform(pipes, lambda l: F.length(F.regexp_replace(F.regexp_replace(l, r"\A\|+|\|+\z", ""), r"[^|]", "")))
-    usual = F.array_max(F.transform(F.array_distinct(cols), lambda k: F.size(F.filter(cols, lambda x: x == k))))
-    return (
-        F.when(n == 0, F.lit(0.0)).when(share < MIN_PIPES, share / MIN_PIPES).when(n < 3, share).otherwise(share * 0.3 + usual / n * 0.7)
-    )
+    return let(_full_lines(lines(c)), _table_quality)
 
 
 def score_quality(c: Column, confidence: Column | None = None, min_chars: Column | int = 20) -> Column:
-    """Struct of the score and its parts. Null texts count as empty; a null confidence as full."""
-    t = F.coalesce(c, F.lit(""))
+    """Struct of the score and its parts. Null texts count as empty; a null confidence as full.
+
+    The text, its lines and its ratios are bound once each."""
     conf = F.coalesce(confidence.cast("double"), F.lit(1.0)) if confidence is not None else F.lit(1.0)
     least = min_chars if isinstance(min_chars, Column) else F.lit(min_chars)
-    short = F.length(strip(t)) < least
-    ls = lines(t)
-    full = F.filter(ls, lambda l: strip(l) != "")
-    alnum = _share(t, r"[^\p{L}\p{N}" + BLANK[1:])
-    symbol = _share(t, SYMBOL_CLASS.replace("[|", "[^|", 1))
-    line = F.aggregate(full, F.lit(0).cast("bigint"), lambda a, l: a + F.length(l)) / F.greatest(F.size(full), F.lit(1))
-    empty = (F.size(ls) - F.size(full)) / F.size(ls)
-    repeated = t.rlike(r"(?d)(.)\1{7,}")
-    diacritics = diacritic_ratio(t)
-    base = (
-        WEIGHTS["alnum"] * alnum
-        + WEIGHTS["symbol"] * F.greatest(F.lit(0.0), 1 - symbol / MAX_SYMBOLS)
-        + WEIGHTS["line"] * F.least(F.lit(1.0), line / IDEAL_LINE)
-        + WEIGHTS["empty"] * F.greatest(F.lit(0.0), 1 - empty / MAX_EMPTY)
-        + WEIGHTS["repeat"] * F.when(repeated, 0.0).otherwise(1.0)
-        + WEIGHTS["confidence"] * conf
-    )
-    marks = F.when(is_portuguese(t) & (diacritics < MIN_DIACRITICS), 0.4 + 0.6 * diacritics / MIN_DIACRITICS).otherwise(1.0)
-    shape = F.when(looks_like_table(t), 0.5 + 0.5 * table_quality(t)).when(numeric_density(t) > MAX_NUMERIC, 0.5).otherwise(1.0)
-    pick = lambda none, value: F.when(short, F.lit(none)).otherwise(value)
-    return F.struct(
-        pick(0.0, base * marks * shape).alias("score"), F.length(t).alias("char_count"), pick(0.0, alnum).alias("alphanumeric_ratio"),
-        pick(1.0, symbol).alias("symbol_ratio"), pick(0.0, line).alias("avg_line_length"), pick(1.0, empty).alias("empty_line_ratio"),
-        pick(False, repeated).alias("has_repeated_chars"), pick(0.0, diacritics).alias("diacritic_ratio"),
-    )
+
+    def parts(t: Column) -> Column:
+        def counted(ls: Column) -> Column:
+            return let(_full_lines(ls), lambda full: measured(ls, full))
+
+        def measured(ls: Column, full: Column) -> Column:
+            return let(
+                F.struct(
+                    (F.length(strip(t)) < least).alias("short"),
+                    _share(t, r"[^\p{L}\p{N}" + BLANK[1:]).alias("alnum"),
+                    _share(t, SYMBOL_CLASS.replace("[|", "[^|", 1)).alias("symbol"),
+                    (F.aggregate(full, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]) / F.greatest(F.size(full), F.lit(1))).alias("line"),
+                    ((F.size(ls) - F.size(full)) / F.size(ls)).alias("empty"),
+                    t.rlike(r"(?d)(.)\1{7,}").alias("repeated"),
+                    diacritic_ratio(t).alias("marks"),
+                ),
+                lambda m: scored(m, full),
+            )
+
+        def scored(m: Column, full: Column) -> Column:
+            base = (
+                WEIGHTS["alnum"] * m["alnum"]
+                + WEIGHTS["symbol"] * F.greatest(F.lit(0.0), 1 - m["symbol"] / MAX_SYMBOLS)
+                + WEIGHTS["line"] * F.least(F.lit(1.0), m["line"] / IDEAL_LINE)
+                + WEIGHTS["empty"] * F.greatest(F.lit(0.0), 1 - m["empty"] / MAX_EMPTY)
+                + WEIGHTS["repeat"] * F.when(m["repeated"], 0.0).otherwise(1.0)
+                + WEIGHTS["confidence"] * conf
+            )
+            # The cheap test first: few texts have so few marks.
+            marks = F.when(m["marks"] < MIN_DIACRITICS, F.when(is_portuguese(t), 0.4 + 0.6 * m["marks"] / MIN_DIACRITICS).otherwise(1.0)).otherwise(1.0)
+            shape = F.when(_is_table(full), 0.5 + 0.5 * _table_quality(full)).when(numeric_density(t) > MAX_NUMERIC, 0.5).otherwise(1.0)
+            pick = lambda none, value: F.when(m["short"], F.lit(none)).otherwise(value)
+            return F.struct(
+                pick(0.0, base * marks * shape).alias("score"), F.length(t).alias("char_count"), pick(0.0, m["alnum"]).alias("alphanumeric_ratio"),
+                pick(1.0, m["symbol"]).alias("symbol_ratio"), pick(0.0, m["line"]).alias("avg_line_length"), pick(1.0, m["empty"]).alias("empty_line_ratio"),
+                pick(False, m["repeated"]).alias("has_repeated_chars"), pick(0.0, m["marks"]).alias("diacritic_ratio"),
+            )
+
+        return let(lines(t), counted)
+
+    return let(F.coalesce(c, F.lit("")), parts)
 
 
 def item_min_chars(kind: Column) -> Column:
@@ -132,12 +169,19 @@ def item_min_chars(kind: Column) -> Column:
 
 def route(native: Column, ocr: Column, confidence: Column, threshold: float) -> Column:
     """Accept a reading by its agreement with 20 or more native signs, else by its score."""
-    n, o = strip(F.coalesce(native, F.lit(""))), strip(F.coalesce(ocr, F.lit("")))
-    nw, nn = word_set(n), number_set(n)
-    words = F.size(F.array_intersect(nw, word_set(o))) / F.greatest(F.size(nw), F.lit(1))
-    numbers = F.when(F.size(nn) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(nn, number_set(o))) / F.size(nn))
-    value = F.when(F.length(n) >= 20, words * 0.7 + numbers * 0.3).otherwise(score_quality(o, confidence)["score"])
-    return F.struct(F.when(F.length(n) >= 20, "reference").otherwise("heuristic").alias("method"), value.alias("value"), (value >= threshold).alias("accepted"))
+
+    def decide(n: Column, o: Column) -> Column:
+        def agreement(x: Column) -> Column:
+            words = F.size(F.array_intersect(x["nw"], x["ow"])) / F.greatest(F.size(x["nw"]), F.lit(1))
+            numbers = F.when(F.size(x["nn"]) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x["nn"], x["on"])) / F.size(x["nn"]))
+            return words * 0.7 + numbers * 0.3
+
+        sets = F.struct(word_set(n).alias("nw"), word_set(o).alias("ow"), number_set(n).alias("nn"), number_set(o).alias("on"))
+        long = F.length(n) >= 20
+        value = F.when(long, let(sets, agreement)).otherwise(score_quality(o, confidence)["score"])
+        return let(value, lambda v: F.struct(F.when(long, "reference").otherwise("heuristic").alias("method"), v.alias("value"), (v >= threshold).alias("accepted")))
+
+    return let(strip(F.coalesce(native, F.lit(""))), lambda n: let(strip(F.coalesce(ocr, F.lit(""))), lambda o: decide(n, o)))
 
 
 def detect_heading(text: Column, size: Column, bold: Column) -> Column:

@@ -73,3 +73,39 @@ def hash_embed_sparse(c: Column, buckets: int = 4096) -> Column:
             yield s.map(lambda t: hash_counts(t, buckets))
 
     return run(c)
+
+
+def pack_sparse(v: dict[int, float] | None) -> bytes | None:
+    """A count, the ids in order and their weights, little-endian words of four bytes; null for none."""
+    if not v:
+        return None
+    ids = sorted(v)
+    return np.uint32(len(ids)).astype("<u4").tobytes() + np.array(ids, "<i4").tobytes() + np.array([v[i] for i in ids], "<f4").tobytes()
+
+
+def unpack_sparse(data: bytes | None) -> dict[int, float] | None:
+    """The vector of :func:`pack_sparse`; null for null and for a count of zero."""
+    n = int(np.frombuffer(data, "<u4", 1)[0]) if data else 0
+    if not n:
+        return None
+    return dict(zip(np.frombuffer(data, "<i4", n, 4).tolist(), np.frombuffer(data, "<f4", n, 4 + 4 * n).tolist()))
+
+
+def encode_sparse(c: Column) -> Column:
+    """E8 on a column of maps; Arrow batches."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: pack_sparse(dict(v)) if v is not None else None)
+
+    return run(c)
+
+
+def decode_sparse(c: Column) -> Column:
+    """E8 back to a column of maps."""
+
+    @F.pandas_udf("map<int,float>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(unpack_sparse)
+
+    return run(c)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellum.functions.text import words
 from vellum.operators.filters import tag_overlap
+from vellum.runtime import broadcast_if_small
 
 K1, B = 1.2, 0.75
 #: Questions per slice that is sent to the vectors.
@@ -47,17 +48,19 @@ def search_fts(docs: DataFrame, questions: DataFrame, key: str, text: str, k: in
     Any shared word makes a candidate. Statistics cover the whole collection, ``predicate`` limits
     the candidates. Questions: ``(query_id, text)``; those without words give no rows.
     """
-    post = postings(docs, key, text)
     asked = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    # Lengths need no shuffle: they are a property of the row.
-    length = docs.select(F.col(key), F.size(terms(F.col(text))).alias("dl"))
+    wanted = asked.select("term").distinct()
+    n_wanted = wanted.count()
+    # Only words that are asked for leave the scan; lengths and the filter travel with them, being
+    # properties of the row.
+    ok = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
+    read = docs.select(F.col(key), terms(F.col(text)).alias("ts"), ok.alias("ok"))
+    words_in = read.select(key, "ok", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(broadcast_if_small(wanted, n_wanted), "term", "left_semi")
+    post = words_in.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("ok").alias("ok"))
     total = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text))).cast("double")).alias("avgdl"))
-    hits = post.join(asked, "term")
-    df = post.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = hits.join(df, "term").join(length, key)
-    if predicate is not None:
-        hits = hits.join(docs.where(predicate).select(key), key, "left_semi")
-    hits = hits.crossJoin(F.broadcast(total))  # one row
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    few = asked.join(df, "term")
+    hits = post.where("ok").join(broadcast_if_small(few, asked.count()), "term").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rank(hits.groupBy("query_id", F.col(key).alias("id")).agg(F.sum(part).alias("score")), k)
@@ -187,3 +190,13 @@ def has_conflict(hits: DataFrame, gap: float = 0.15) -> DataFrame:
     two = hits.withColumn("n", F.row_number().over(w)).where("n <= 2")
     agg = two.groupBy("query_id").agg(F.count("*").alias("k"), F.count_distinct("doc_id").alias("docs"), (F.max("score") - F.min("score")).alias("gap"))
     return agg.select("query_id", ((F.col("k") == 2) & (F.col("docs") == 2) & (F.col("gap") <= gap)).alias("conflict"))
+
+
+def evidence(hits: DataFrame) -> DataFrame:
+    """hits as evidence rows: null names and snippets empty, null numbers zero, null tags none;
+    headings and title stay null."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return hits.select(
+        "query_id", *[text(c) for c in ("chunk_id", "doc_id", "source_path", "file_name")], F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
+        F.coalesce(F.col("chunk_index").cast("int"), F.lit(0)).alias("chunk_index"), text("snippet"), "h1", "h2", "h3", "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+    )

@@ -97,6 +97,33 @@ def retrieve_reliably(index: DataFrame, questions: DataFrame, settings: Retrieva
     return first.join(weak, "query_id", "left_anti").unionByName(again)
 
 
+class Retriever:
+    """An index, its settings and the cache of question vectors: asks plain texts."""
+
+    def __init__(self, index: DataFrame, settings: RetrievalSettings = RetrievalSettings(), cache: QueryCache | None = None):
+        self.index, self.settings, self.cache = index, settings, cache or QueryCache()
+
+    def questions(self, texts: list[str]) -> DataFrame:
+        """``(query_id, text, v)``; numbers from 1 in order, vectors from the cache where it holds them."""
+        rows = [(n, t, self.cache.vector(t or "")) for n, t in enumerate(texts, 1)]
+        return self.index.sparkSession.createDataFrame(rows, "query_id int, text string, v array<double>")
+
+    def retrieve(self, texts: list[str], filters: Filters = Filters(), mode: str | None = None) -> DataFrame:
+        return S.evidence(self.hits(texts, filters, mode))
+
+    def hits(self, texts: list[str], filters: Filters = Filters(), mode: str | None = None) -> DataFrame:
+        return retrieve(self.index, self.questions(texts), replace(self.settings, mode=mode or self.settings.mode), filters)
+
+    def answer(self, texts: list[str], model: G.LanguageModel | None = None, filters: Filters = Filters()) -> DataFrame:
+        return answer(self.index, self.questions(texts), model, settings=self.settings, filters=filters)
+
+    def cache_stats(self) -> dict:
+        return self.cache.stats()
+
+    def invalidate_cache(self) -> None:
+        self.cache.clear()
+
+
 def answer(index: DataFrame, questions: DataFrame, model: G.LanguageModel | None = None, mode: str = "answer", settings: RetrievalSettings = RetrievalSettings(), filters: Filters = Filters()) -> DataFrame:
     """``(query_id, text, mode, confidence, insufficient_context, conflict, sources)``."""
     hits = retrieve_reliably(index, questions, settings, filters)

@@ -49,6 +49,25 @@ def load_markdown(files: DataFrame) -> DataFrame:
     )
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest entries of a JSON file ``{"entries": [...]}``.
+
+    A missing or broken file gives no rows; entries without a document id, path or hash are skipped; of
+    several entries of a document the last counts. Missing names, times, languages and tags get their
+    defaults: the path's last part, 0, ``und`` and no tags."""
+    entry = "doc_id string, source_path string, file_name string, file_hash string, ingested_at bigint, language string, doc_type string, tags array<string>"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], entry)
+    # Entries are parsed one by one, so that a bad one does not take the others with it.
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "entries array<string>").alias("j"))
+    rows = whole.select(F.posexplode("j.entries").alias("n", "e")).select("n", F.from_json("e", entry).alias("e"))
+    last = rows.where("e.doc_id is not null and e.source_path is not null and e.file_hash is not null").groupBy("e.doc_id").agg(F.max_by("e", "n").alias("e")).select("e.*")
+    name = F.element_at(F.split(F.translate("source_path", "\\", "/"), "/"), -1)
+    defaults = {"file_name": name, "ingested_at": F.lit(0).cast("bigint"), "language": F.lit("und"), "tags": F.array().cast("array<string>")}
+    return last.select(*[F.coalesce(c, defaults[c]).alias(c) if c in defaults else F.col(c) for c in (x.split()[0] for x in entry.split(", "))])
+
+
 # --- archives --------------------------------------------------------------------------------
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.catalog import sqlparts as Q
@@ -17,16 +21,43 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents_md").where("body is not null").select("doc_id", t.alias("body")).distinct())
 
 
+def _each(rows: DataFrame, text: str, schema: str, made: Callable[[str], list[tuple]]) -> DataFrame:
+    """``(doc_id, schema)``: what the chunker's own functions make of each text, row by row."""
+    kind = dict(rows.dtypes)["doc_id"]
+    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(d, *r) for d, t in zip(pdf["d"], pdf["t"]) for r in made(t)], columns=names)
+
+    return rows.select(F.col("doc_id").alias("d"), F.col(text).alias("t")).mapInPandas(work, f"doc_id {kind}, {schema}")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+
+
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of the documents with their place; appendix titles marked."""
-    r = _bodies(spark, d).select("doc_id", F.posexplode(H.headings(F.col("body"))).alias("i", "h"))
-    return r.select("doc_id", "i", "h.level", "h.text", H.is_appendix(F.col("h.text")).alias("is_appendix"))
+    """Headings of the documents with their place, as the chunker reads them; appendix titles marked."""
+    ship(spark)
+
+    def made(body: str) -> list[tuple]:
+        found = [(p[-1], appendix) for p, _, _, appendix in H.sections(body) if p]
+        return [(i, level, text, appendix) for i, ((level, text), appendix) in enumerate(found)]
+
+    return _each(_bodies(spark, d), "body", "i int, level int, text string, is_appendix boolean", made)
 
 
 def heading_path(spark: SparkSession, d: str) -> DataFrame:
-    hs = H.headings(F.col("body"))
-    r = _bodies(spark, d).select("doc_id", hs.alias("hs"), F.posexplode(hs).alias("i", "h"))
-    return r.select("doc_id", "i", *[H.heading_path(F.col("hs"), F.col("i"), n).alias(f"h{n}") for n in (1, 2, 3)])
+    """The first heading of each level above every section, from the parents the chunker gives it."""
+    ship(spark)
+
+    def made(body: str) -> list[tuple]:
+        found = [p for p, _, _, _ in H.sections(body) if p]
+        return [(i, *(next((t for l, t in p if l == n), None) for n in (1, 2, 3))) for i, p in enumerate(found)]
+
+    return _each(_bodies(spark, d), "body", "i int, h1 string, h2 string, h3 string", made)
 
 
 def parents_h123(spark: SparkSession, d: str) -> DataFrame:
@@ -34,14 +65,18 @@ def parents_h123(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(H.paragraphs(F.col("text"))).alias("i", "p"))
-    return p.select("doc_id", "i", F.sha1("p").alias("digest"))
+    """H10 by the chunker: every text is too long, no paragraph is."""
+    long = H.ChunkSettings(target=5_000, min=20, max=5_000)
+    count = lambda x: 10_000 if re.search(r"\n\s*\n", x) else 1
+    r = _each(_texts(spark, d), "text", "i int, p string", lambda t: [(i, b.text.strip()) for i, b in enumerate(H.split_block(H.Block(t, 0, len(t)), long, count)) if b.text.strip()])
+    return r.select("doc_id", "i", F.sha1("p").alias("digest"))
 
 
 def window_split(spark: SparkSession, d: str) -> DataFrame:
-    s = H.ChunkSettings(target=60, min=20, max=80)
-    w = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(H.windows(F.col("text"), s.max, s.step)).alias("i", "w"))
-    return w.select("doc_id", "i", F.sha1("w").alias("digest"))
+    """H6, H10, H11, W7 by the chunker: texts over 80 tokens by paragraph, paragraphs over 80 by windows
+    of 80 words."""
+    r = _each(_texts(spark, d), "text", "i int, w string", lambda t: [(i, b.text) for i, b in enumerate(H.split_block(H.Block(t, 0, len(t)), SMALL))])
+    return r.select("doc_id", "i", F.sha1("w").alias("digest"))
 
 
 def noise_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -52,16 +87,14 @@ def noise_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accumulate_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy folding of paragraphs by size alone, as one fold per document: group sizes in order."""
-    n = F.transform(H.paragraphs(F.col("text")), count_tokens)
-    init = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("out"))
+    """H12, W8 by the chunker's fold over the paragraphs of each text: group sizes in order."""
+    s = H.ChunkSettings()
 
-    def step(a, x):
-        join = (a["cur"] > 0) & ((a["cur"] < 80) | (x < 80)) & (a["cur"] + x <= 800)
-        return F.struct(F.when(join, a["cur"] + x).otherwise(x).alias("cur"), F.when(join | (a["cur"] == 0), a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))).alias("out"))
+    def made(text: str) -> list[tuple]:
+        parts = [x for x in (x.strip() for x in re.split(r"\n\s*\n", text)) if x]
+        return [(",".join(str(sum(map(H.tokens_of, b.text.split("\n\n")))) for b in H.accumulate([H.Block(x, 0, 0) for x in parts], s)),)]
 
-    done = F.aggregate(n, init, step, lambda a: F.when(a["cur"] > 0, F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(done.cast("array<string>"), ",").alias("sizes"))
+    return _each(_texts(spark, d), "text", "sizes string", made)
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -109,9 +142,12 @@ o AS (SELECT *, {', '.join(f"first_value(CASE WHEN level = {n} THEN text END IGN
 SELECT doc_id, CAST(i AS INT) AS i, {', '.join(f"CASE WHEN level = {n} THEN text WHEN level > {n} THEN f{n} END AS h{n}" for n in (1, 2, 3))} FROM o""",
     "parents_h123": "SELECT DISTINCT chunk_id, chunk_index, " + ", ".join(f"list_filter(parents, lambda p: p.level = {n})[1].text AS h{n}" for n in (1, 2, 3)) + " FROM chunks WHERE parents IS NOT NULL",
     "split_paragraphs": f"WITH {_PARAS} SELECT doc_id, CAST(i AS INT) AS i, sha1(p) AS digest FROM pp",
-    "window_split": f"""WITH w AS (SELECT doc_id, {Q.words('text')} AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 80 THEN 1 ELSE CAST(ceil((len(w) - 80) / 68.0) AS INT) + 1 END)) AS i FROM w)
-SELECT doc_id, CAST(i AS INT) AS i, sha1(array_to_string(w[i * 68 + 1:i * 68 + 80], ' ')) AS digest FROM s""",
+    "window_split": f"""WITH {_PARAS},
+parts AS (SELECT doc_id, 0 AS i, text AS p, true AS whole FROM documents WHERE text IS NOT NULL AND greatest(1, length(text) // 4) <= 80
+ UNION ALL SELECT pp.doc_id, i, p, greatest(1, length(p) // 4) <= 80 FROM pp JOIN documents d ON d.doc_id = pp.doc_id WHERE greatest(1, length(text) // 4) > 80),
+w AS (SELECT doc_id, i, p, whole, {Q.words('p')} AS w FROM parts),
+s AS (SELECT doc_id, i, p, whole, w, unnest(range(CASE WHEN whole OR len(w) <= 80 THEN 1 ELSE CAST(ceil((len(w) - 80) / 68.0) AS INT) + 1 END)) AS k FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INT) AS i, sha1(CASE WHEN whole THEN p ELSE array_to_string(w[k * 68 + 1:k * 68 + 80], ' ') END) AS digest FROM s""",
     "noise_filter": f"""WITH {_PARAS}, src AS (SELECT DISTINCT chunk_id AS k, chunk_text AS t FROM chunks WHERE chunk_text IS NOT NULL UNION ALL SELECT CAST(doc_id AS VARCHAR), p FROM pp), {_NOISE}
 SELECT k AS chunk_id, count(*) FILTER (NOT keep AND (core < 5 OR (tokens < 80 AND core < 15) OR (digits > 0.4 AND core < 30))) AS noise, count(*) AS n FROM n2 GROUP BY k""",
     "accumulate_merge": f"""WITH RECURSIVE {_PARAS},

@@ -44,6 +44,11 @@ def clean_repeated_urls(spark: SparkSession, d: str) -> DataFrame:
     return _text_query(C.remove_repeated_urls)(spark, d)
 
 
+def clean_url_fragments(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return _text_query(C.remove_url_fragments)(spark, d)
+
+
 def clean_dup_lines(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     t = spread(table(spark, d, "documents").where("text is not null")).select("doc_id", C.remove_duplicate_items(F.col("text")).alias("t"))
@@ -108,7 +113,7 @@ def _count(hint: str, s: str = "s") -> str:
 QUERIES = {
     "clean_line_endings": _text_query(C.normalize_line_endings),
     "clean_references": _text_query(C.remove_reference_numbers),
-    "clean_url_fragments": _text_query(C.remove_url_fragments),
+    "clean_url_fragments": clean_url_fragments,
     "clean_keywords": _text_query(C.remove_keyword_blocks),
     "clean_implicit_headings": _text_query(C.detect_implicit_headings),
     "clean_short_lines": _text_query(C.remove_short_lines),

@@ -61,7 +61,7 @@ def fetch_ids(spark: SparkSession, d: str) -> DataFrame:
 def document_join(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with fields of their documents."""
     m = table(spark, d, "documents_md").groupBy("doc_id").agg(F.min("file_name").alias("file_name"), F.min("doc_type").alias("doc_type"))
-    return _chunks(spark, d).join(m, "doc_id").select("chunk_id", "file_name", "doc_type")
+    return K.join_documents(_chunks(spark, d), m).select("chunk_id", "file_name", "doc_type")
 
 
 #: Models whose vectors the cache holds.

@@ -33,22 +33,6 @@ def remove_reference_numbers(c: Column) -> Column:
     return F.regexp_replace(c, r"\[\d+\]", "")
 
 
-def is_url_fragment(l: Column) -> Column:
-    """Whether a line is a broken piece of an address."""
-    s = strip(l)
-    never = [s.startswith(d) for d in DECLARATIONS] + [s.contains(x) for x in ("=", "<", ">", " ")]
-    out = (F.length(s) < 30) & (s.contains("/") | s.contains("-")) & ~F.substring(s, 1, 3).rlike(r"\p{Lu}")
-    for n in never:
-        out = out & ~n
-    return out
-
-
-def remove_url_fragments(c: Column) -> Column:
-    """C4: outside code fences."""
-    kept = F.filter(fence_parity(lines(c)), lambda x: x["code"] | ~is_url_fragment(x["line"]))
-    return unlines(F.transform(kept, lambda x: x["line"]))
-
-
 def remove_keyword_blocks(c: Column) -> Column:
     """Keyword headings with the line below; not anchored, matches do not overlap."""
     return F.regexp_replace(c, KEYWORD_BLOCK, "")
@@ -183,6 +167,11 @@ def remove_repeated_urls(c: Column) -> Column:
     return _arrow(drop_repeated_urls)(c)
 
 
+def remove_url_fragments(c: Column) -> Column:
+    """C4: outside code fences."""
+    return _arrow(drop_url_fragments)(c)
+
+
 def remove_duplicate_items(c: Column) -> Column:
     """C5."""
     return _arrow(drop_duplicate_items)(c)

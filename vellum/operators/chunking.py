@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions.metadata import chunk_id
-from vellum.functions.text import count_tokens, lines, strip, words
+from vellum.functions.text import count_tokens, lines, strip
 
 #: Patterns and names that must match the documented behaviour (fixed values).
 HEADING = r"^(#{1,6})\s+(.*?)(?:\s+#+\s*)?$"
@@ -52,23 +52,6 @@ class ChunkSettings:
 # --- expressions -----------------------------------------------------------------------------
 
 
-def headings(body: Column) -> Column:
-    """H2: ``array<struct<level, text>>`` of the ATX headings, one per line, in order."""
-    found = F.filter(lines(body), lambda l: l.rlike(r"\A#{1,6}\s+\S"))
-    return F.transform(
-        found,
-        lambda l: F.struct(F.length(F.regexp_extract(l, r"\A(#{1,6})", 1)).alias("level"), strip(F.regexp_extract(l, r"(?s)\A#{1,6}\s+(.*?)(?:\s+#+\s*)?\z", 1)).alias("text")),
-    )
-
-
-def heading_path(hs: Column, i: Column, level: int) -> Column:
-    """Text shown at ``level`` for heading ``i``: the first earlier heading of that level, if it
-    is smaller than the heading's own; the heading itself at its own level."""
-    own = F.get(hs, i)
-    earlier = F.filter(F.slice(hs, F.lit(1), i), lambda h: h["level"] == level)
-    return F.when(own["level"] == level, own["text"]).when(own["level"] > level, F.get(earlier, F.lit(0))["text"])
-
-
 def parents_h123(parents: Column) -> list[Column]:
     """first text of each of the levels 1 to 3."""
 
@@ -78,24 +61,11 @@ def parents_h123(parents: Column) -> list[Column]:
     return [first(n) for n in (1, 2, 3)]
 
 
-def is_appendix(title: Column) -> Column:
-    return F.regexp_replace(F.lower(strip(title)), r":+\z", "").isin(*APPENDIX)
-
-
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, stripped, without empty ones."""
     return F.filter(F.transform(F.split(text, r"\n\s*\n", -1), strip), lambda p: p != "")
 
 
-def windows(text: Column, size: int, step: int) -> Column:
-    """Word windows; the last is the first that reaches the end."""
-    w = words(text)
-    n = F.size(w)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))
-
-
 def is_noise(text: Column, tokens: Column, min_tokens: int) -> Column:
     """Numbers, signs or scraps that are no table, code, list or headed text."""
     ls = lines(strip(text))

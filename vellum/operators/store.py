@@ -43,6 +43,11 @@ def manifest_diff(known: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, "source_path", "full_outer").select("source_path", F.coalesce("new_id", "old_id").alias("doc_id"), status.alias("status"))
 
 
+def join_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks with the fields of their documents; one row of ``docs`` per ``doc_id``."""
+    return chunks.join(docs, "doc_id")
+
+
 def cache_lookup(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Wanted ``(chunk_id, model)`` with ``hit`` and the cached vector."""
     one = cache.groupBy("chunk_id", "model").agg(F.max("dense").alias("dense"), F.lit(True).alias("hit"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions.vectors import hash_embed, hash_embed_sparse
 from vellum.operators.chunking import ChunkSettings, chunk_documents, parents_h123
-from vellum.operators.store import Snapshots, cache_misses, ingest_report, manifest_diff, reassemble
+from vellum.operators.store import Snapshots, cache_misses, ingest_report, join_documents, manifest_diff, reassemble
 from vellum.runtime import cut
 
 #: Columns of the index, in order.
@@ -32,7 +32,7 @@ class Embedder:
 
 def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, sparse: Callable[[Column], Column]) -> DataFrame:
     """Chunks joined with their documents and vectors, in the index schema."""
-    c = chunks.join(docs.drop("body"), "doc_id").join(vectors.select("chunk_id", F.col("dense").alias("dense_embedding")), "chunk_id", "left")
+    c = join_documents(chunks, docs.drop("body")).join(vectors.select("chunk_id", F.col("dense").alias("dense_embedding")), "chunk_id", "left")
     h1, h2, h3 = parents_h123(F.col("parents"))
     c = c.withColumns({"h1": h1, "h2": h2, "h3": h3, "content": F.col("chunk_text")}).withColumn("sparse_embedding", sparse(F.col("content")))
     return c.select(*INDEX)

@@ -55,3 +55,24 @@ def test_failure_before_commit_neither_skips_nor_repeats(spark, tmp_path):
     assert job.run(two, lambda df: df.select("doc_id"), 2, 13)
     out = spark.read.parquet(f"{tmp_path}/output").groupBy("batch").agg(F.sort_array(F.collect_list("doc_id")).alias("d"))
     assert {r.batch: r.d for r in out.collect()} == {1: ["a", "b"], 2: ["b", "c"]}
+    # b is superseded by what its new version gave.
+    assert sorted((r.batch, r.doc_id) for r in job.results().collect()) == [(1, "a"), (2, "b"), (2, "c")]
+
+
+def test_file_that_changes_between_the_reads(spark, tmp_path):
+    """The listing names one hash, the records have another by the time they are read."""
+    job = IncrementalRun(spark, str(tmp_path / "home"))
+    spark.createDataFrame([("a", "h1", "old"), ("b", "h2", "same")], LIST).write.parquet(str(tmp_path / "in"))
+    listing = spark.read.parquet(str(tmp_path / "in"))
+    changed = spark.createDataFrame([("a", "h9", "new"), ("b", "h2", "same")], LIST)
+    import vellum.operators.incremental as module
+
+    first = module.pending
+    try:
+        module.pending = lambda r, *a, **k: first(listing, *a, **k)
+        assert job.run(changed, lambda df: df.select("doc_id", "extra"), 1, 10)
+    finally:
+        module.pending = first
+    assert [r.doc_id for r in job.results().collect()] == ["b"]
+    assert job.run(changed, lambda df: df.select("doc_id", "extra"), 2, 11)
+    assert sorted((r.doc_id, r.extra) for r in job.results().collect()) == [("a", "new"), ("b", "same")]

@@ -92,7 +92,17 @@ class IncrementalRun:
         todo = pending(records, known.withColumnRenamed("key", key), runs, key, file_hash)
         todo.select(F.col(key).cast("string").alias("key"), "file_hash", F.lit(batch_id).cast("bigint").alias("run_id"), F.lit(now_ms).cast("bigint").alias("ingested_at")).write.mode("overwrite").parquet(f"{self.home}/manifest/batch={batch_id}")
         chosen = self.spark.read.parquet(f"{self.home}/manifest/batch={batch_id}")
-        rows = records.join(chosen.select(F.col("key").cast(dict(records.dtypes)[key]).alias(key)), key, "left_semi")
+        # By key and hash: a file that changes between the two reads is left to the next run, which finds
+        # its new hash unknown, and is never processed under the old one.
+        held = chosen.select(F.col("key").cast(dict(records.dtypes)[key]).alias("_k"), F.col("file_hash").alias("_h"))
+        rows = records.join(held, (F.col(key) == F.col("_k")) & _hash(file_hash).eqNullSafe(F.col("_h")), "left_semi")
         transform(rows).write.mode("overwrite").parquet(f"{self.home}/output/batch={batch_id}")
         self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("run_id")).coalesce(1).write.mode("overwrite").parquet(f"{self.home}/commits/batch={batch_id}")
         return True
+
+    def results(self, key: str = "doc_id") -> DataFrame:
+        """Output of committed batches, of each key only that of the last batch that processed it, so
+        what a changed file gave before is superseded. The output must carry the key."""
+        last = self.committed().groupBy(F.col("key").alias("_k")).agg(F.max("run_id").alias("_b"))
+        out = self.spark.read.parquet(f"{self.home}/output")
+        return out.join(last, (F.col(key).cast("string") == F.col("_k")) & (F.col("batch") == F.col("_b")), "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -168,11 +169,21 @@ FROM (SELECT k, regexp_replace(string_agg(l, chr(10) ORDER BY p), '\\n{{3,}}', c
     "clean_control_chars": _text_sql(Q.sub("text", C.CONTROL)),
     "clean_normalize_ws": _text_sql(_normal("text")),
     "clean_dup_lines": f"""WITH {Q.fenced('documents')},
-keyed AS (SELECT *, nullif(regexp_extract(s, 'https?://[^{Q.BLANK[1:-1]})\\]]+'), '') AS u, regexp_replace(s, '^[-*]{Q.BLANK}+|^\\d+\\.{Q.BLANK}+', '') AS i FROM ls),
+keyed AS (SELECT *, nullif(regexp_extract(s, 'https?://[^{Q.BLANK[1:-1]}<>"]+'), '') AS u, regexp_replace(s, '^[-*]{Q.BLANK}+|^\\d+\\.{Q.BLANK}+', '') AS i FROM ls),
 met AS (SELECT *, u IS NOT NULL AND row_number() OVER (PARTITION BY k, u ORDER BY p) > 1 AS gone FROM keyed),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY k, gone, i ORDER BY p) AS r FROM met)
 SELECT k AS doc_id, sha1(t) AS digest, length(t) AS n
 FROM (SELECT k, coalesce(string_agg(CASE WHEN NOT gone AND (i = '' OR r = 1) THEN l END, chr(10) ORDER BY p), '') AS t FROM firsts GROUP BY k)""",
+    "clean_markdown_links": _text_sql(Q.sub(Q.sub(Q.sub(Q.sub("text", r"(?m)^#{1,6}\s*\n"), r"\[[^\]]*\]\(\s*\)"), r"!\[[^\]]*\]\(\s*\)"), r"(?m)^!\s*$")),
+    "clean_repeated_urls": f"""WITH RECURSIVE {Q.fenced('documents')},
+u AS (SELECT k, p, l, s, regexp_extract_all(l, 'https?://[^{Q.BLANK[1:-1]}<>"]+|www\\.[^{Q.BLANK[1:-1]}<>"]+') AS us FROM ls),
+f AS (
+  SELECT k, CAST(0 AS BIGINT) AS p, CAST([] AS VARCHAR[]) AS met, CAST(NULL AS VARCHAR) AS l, true AS gone FROM (SELECT DISTINCT k FROM u)
+  UNION ALL
+  SELECT u.k, u.p, list_concat(f.met, CASE WHEN j.j IS NULL THEN us ELSE us[1:j.j - 1] END), u.l, j.j IS NOT NULL
+  FROM f JOIN u ON u.k = f.k AND u.p = f.p + 1,
+   LATERAL (SELECT min(x) AS j FROM (SELECT unnest(range(1, len(u.us) + 1)) AS x) r WHERE starts_with(u.s, u.us[x]) AND (list_contains(f.met, u.us[x]) OR list_contains(u.us[1:x - 1], u.us[x]))) j)
+SELECT k AS doc_id, sha1(t) AS digest, length(t) AS n FROM (SELECT k, coalesce(string_agg(CASE WHEN NOT gone THEN l END, chr(10) ORDER BY p), '') AS t FROM f WHERE p > 0 GROUP BY k)""",
     "chunk_identity": f"SELECT DISTINCT doc_id, doc_id || '_' || left(sha1({_normal('chunk_text')}), 12) AS chunk_id FROM chunks WHERE chunk_text IS NOT NULL AND doc_id IS NOT NULL",
     "doc_identity": r"SELECT DISTINCT source_path, left(sha1(replace(source_path, '\', '/')), 16) AS doc_id FROM manifest WHERE source_path IS NOT NULL",
     "file_hash": "SELECT DISTINCT doc_id, sha256(body) AS file_hash FROM documents_md WHERE body IS NOT NULL",
@@ -189,3 +200,18 @@ SELECT doc_id, coalesce(nullif(""" + Q.strip(r"regexp_extract(body, '(?m)^#\s+(.
  {Q.strip("coalesce(language, '')")} AS lang, coalesce(file_name, '') AS rest FROM documents_md""",
     "tags_parse": "SELECT DISTINCT doc_id, array_to_string(list_filter(tags, lambda t: trim(t) <> ''), '|') AS tags FROM documents_md WHERE tags IS NOT NULL",
 }
+
+
+def _chained(steps: list[str]) -> str:
+    """SQL of rules one after another: each reads the texts that the one before it gives."""
+    ctes, source = [], "documents"
+    for n, name in enumerate(steps):
+        sql = SQL[name].replace("sha1(t) AS digest, length(t) AS n", "t AS text")
+        ctes.append(f"c{n} AS ({re.sub(r'(?<![a-z_])documents(?![a-z_])', source, sql)})")
+        source = f"c{n}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, sha1(text) AS digest, length(text) AS n FROM {source}"
+
+
+SQL["clean_text_full"] = _chained(
+    "clean_line_endings clean_references clean_repeated_urls clean_url_fragments clean_dup_lines clean_keywords clean_implicit_headings clean_short_lines clean_whitespace clean_control_chars".split()
+)

@@ -419,6 +419,7 @@ FROM (SELECT doc_id, lower({Q.strip('body')}) AS s FROM documents_md WHERE body
     "html_to_markdown": _html_markdown(),
     "strip_html_attrs": _digest(_subs("body", _ATTRS)),
     "latex_strip": _digest(Q.strip(_subs("body", [(r"\\(?:begin|end)\{[^}]*\}", "''"), (r"\\[a-zA-Z]+(\{[^}]*\})*", "''"), (r"[{}]", "''"), (r"\n{3,}", _NL2)]))),
+    "extract_html": _digest(Q.strip(_subs("regexp_extract(body, '(?s)<[a-zA-Z].*$')", [(r"(?s)\n\s*\[.*?(\[.*?\])\s*\]\s*\z", "''"), (r"(?s)\n\s*\{.*\}\s*\z", "''"), (r"\n\s*\[", "''")]))),
     "trailing_commentary": _digest(f"CASE WHEN regexp_matches(body, '</[a-zA-Z]+>') THEN {Q.strip('regexp_replace(body, ' + chr(39) + '(?s)^(.*</[a-zA-Z]+>).*$' + chr(39) + ', ' + chr(39) + chr(92) + '1' + chr(39) + ')')} ELSE body END"),
     "word_set": f"WITH {_PAGES} SELECT doc, page_num, array_to_string(list_sort({_words('ocr_text')}), ' ') AS words FROM pg WHERE ocr_text IS NOT NULL",
     "number_set": f"WITH {_PAGES} SELECT doc, page_num, array_to_string(list_sort({_numbers('ocr_text')}), ' ') AS numbers FROM pg WHERE ocr_text IS NOT NULL",

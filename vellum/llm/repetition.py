@@ -132,7 +132,8 @@ def kneser_ney(tri: DataFrame) -> DataFrame:
     their counted rows are few, else by shuffles whose hot keys adaptive execution splits (the side of
     the totals has one row a key).
     """
-    bi = tri.groupBy("suf", "mid", "last").agg(F.count("*").alias("k"))
+    tri = cut(tri)  # the counts are read five times
+    bi = cut(tri.groupBy("suf", "mid", "last").agg(F.count("*").alias("k")))
     uni = bi.groupBy("last").agg(F.count("*").alias("k"))
     d3, d2 = _discounts(tri, "c"), _discounts(bi, "k")
     total = uni.agg(F.sum("k").alias("s"), F.count("*").alias("v")).first()

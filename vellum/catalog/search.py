@@ -10,13 +10,13 @@ from vellum.functions import vectors as V
 from vellum.operators import search as S
 from vellum.operators.filters import Filters, tag_overlap
 from vellum.operators.generation import hit_line
-from vellum.runtime import ship, table
+from vellum.runtime import ship, spread, table
 
 STEP = 50  # questions are the rows whose id this divides
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "text", "lang", "source", "doc_type", "n_chars")
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text", "lang", "source", "doc_type", "n_chars"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:

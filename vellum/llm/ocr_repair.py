@@ -56,7 +56,8 @@ WORD = r"[\p{L}\p{M}0-9!|@†¢]++(?:\([\p{L}\p{M}0-9!|@†¢]++)*+"
 def _joined(t: Column) -> Column:
     """Text whose line-end hyphens are closed and whose addresses are gone."""
     plain = F.when(F.contains(t, F.lit("://")) | F.lower(t).contains("www."), F.regexp_replace(t, r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+", " ")).otherwise(t)
-    return F.regexp_replace(plain, rf"(?<=\p{{L}})[{_HYPHENS}][ \t]*\r?\n\s*(?=\p{{L}})", "")
+    # The hyphen stands before the look behind it, so that only hyphens are looked at.
+    return F.regexp_replace(plain, rf"[{_HYPHENS}](?<=\p{{L}}[{_HYPHENS}])[ \t]*\r?\n\s*(?=\p{{L}})", "")
 
 
 def raw_words(t: Column) -> Column:

@@ -327,6 +327,46 @@ def test_cluster_of_a_third_is_searched_whole(spark, monkeypatch, noise, least):
     assert got == {(f"c{i:04d}", n + 1, f"c{j:04d}") for i in range(len(v)) for n, j in enumerate(order[i]) if s[i, j] >= max(least, -2)}
 
 
+def test_shuffle_follows_the_vectors(spark, monkeypatch):
+    """Smaller blocks meet more often, but no vector is written more often."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"c{i:04d}", "m", x.tolist()) for i, x in enumerate(rng.normal(size=(2000, 64)))], "chunk_id string, model string, dense array<float>").cache()
+    assert df.count() == 2000
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    took = {}
+    for rows in (2000, 50):
+        monkeypatch.setattr(knn, "FILE_ROWS", rows)
+        before = written()
+        assert knn.similar_vectors(df, "chunk_id", "model", "dense", least=-2.0).count() == 10_000
+        took[rows] = written() - before
+    assert 0 < took[50] < 2 * took[2000]
+
+
+@pytest.mark.parametrize(("asks", "models", "kind"), [(1, 64, "float"), (16, 1, "double")])
+def test_blocks_of_models_spread_and_gathered(spark, monkeypatch, asks, models, kind):
+    for name, value in (("FILE_ROWS", 30), ("ASKS", asks), ("MODELS", models)):
+        monkeypatch.setattr(knn, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3, 200, 8)).astype(np.float32)
+    df = spark.createDataFrame([(f"c{i:03d}", f"m{m}", x.tolist()) for m in range(3) for i, x in enumerate(v[m])], f"chunk_id string, model string, dense array<{kind}>")
+    got = {(r.model, r.id, r.place, r.neighbour) for r in knn.similar_vectors(df, "chunk_id", "model", "dense", dim=8, least=-2.0).collect()}
+    want = set()
+    for m in range(3):
+        u = v[m].astype(np.float64)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        s = np.round(u @ u.T, 12)
+        np.fill_diagonal(s, -3)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :5]
+        want |= {(f"m{m}", f"c{i:03d}", n + 1, f"c{j:03d}") for i in range(200) for n, j in enumerate(order[i])}
+    assert got == want
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 SAMPLES = {

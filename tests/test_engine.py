@@ -333,3 +333,71 @@ def test_items(spark):
     assert D.median_font(b).first().median_font == 10.0
     t = spark.createDataFrame([([["1", None], ["", " "]], None, "")], "rows array<array<string>>, headers array<string>, caption string")
     assert t.select(D.table_markdown(D.drop_blank_rows(F.col("rows")), F.col("headers"), F.col("caption")).alias("m")).first().m == "| --- | --- |\n| 1 |  |"
+
+
+FTS_TEXTS = ["a b b", "b c", "", "c c c a", "a", "d", None, "b"]
+
+
+def _fts_brute(docs, asked, k, may):
+    """BM25 by the definition: every row of a key counts with its own length."""
+    import math
+    from collections import Counter
+
+    split = {}
+    for key, text, _ in docs:
+        split.setdefault(key, []).append((text or "").split())
+    n = len(docs)
+    mean = sum(len(t) for x in split.values() for t in x) / n
+    tf = {key: Counter(w for t in x for w in t) for key, x in split.items()}
+    out = []
+    for q, text in asked:
+        got = []
+        for key in tf:
+            if key is None or not any(may(d) for d in docs if d[0] == key):
+                continue
+            s = 0.0
+            for w in set(text.split()):
+                df = sum(w in c for c in tf.values())
+                if tf[key][w]:
+                    s += sum(math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf[key][w] * 2.2 / (tf[key][w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for t in split[key])
+            if s:
+                got.append((-math.floor(s * 1e6 + 0.5), key))
+        out += [(q, key, r) for r, (_, key) in enumerate(sorted(got)[:k], 1)]
+    return sorted(out)
+
+
+def test_fts_over_blocks_equals_brute_force(spark, monkeypatch):
+    """Ties, repeated and null keys, repeated questions, a filter, and more blocks, tasks and slices than one."""
+    for name, size in (("QUESTIONS", 4), ("ASKS", 2), ("TEXTS", 5), ("CELLS", 100)):
+        monkeypatch.setattr(S, name, size)
+    rows = [(i, FTS_TEXTS[i % 8], i % 3) for i in range(200)] + [(3, "b d", 1), (None, "a d", 0)]
+    asked = [(i, t) for i, t in enumerate(["a", "b c", "d", "a b c d", "zz", "c zz", "a a d"])]
+    d = spark.createDataFrame(rows, "k bigint, text string, kind int")
+    q = spark.createDataFrame(asked + [(1, "b c")], "query_id int, text string")
+    for p, may in ((None, lambda r: True), (F.col("kind") == 1, lambda r: r[2] == 1)):
+        got = sorted((r.query_id, r.id, r["rank"]) for r in S.search_fts(d, q, "k", "text", 7, p).collect())
+        assert got == _fts_brute(rows, asked, 7, may)
+
+
+@pytest.mark.parametrize("name", ["retrieve_filtered_eq"])
+def test_word_search_stores_texts_not_pairs(spark, tmp_path, name):
+    """Eight hundred questions share words with all of four thousand texts: even filtered, the pairs would be 800,000 rows."""
+    from vellum.catalog.search import QUERIES
+
+    ids = spark.range(4000).withColumnRenamed("id", "doc_id")
+    one = ids.select(
+        (F.col("doc_id") * 20).alias("doc_id"), F.concat(F.lit("the same words "), (F.col("doc_id") % 97).cast("string")).alias("text"), F.when(F.col("doc_id") % 2 == 0, "pt").otherwise("en").alias("lang"), F.lit("x").alias("source"), F.lit("manual").alias("doc_type"),
+        (F.col("doc_id") % 2000).alias("n_chars"), F.lit("the same words").alias("title"),
+    )
+    one.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = _shuffled(spark)
+    assert QUERIES[name](spark, str(tmp_path)).count() >= 800 * 20
+    assert 0 < _shuffled(spark) - before < 400_000
+
+
+def _shuffled(spark):
+    """Records written to shuffles so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))

@@ -1,7 +1,9 @@
 """Search R1-R13: scoring by dense vectors, words and sparse vectors, fusion, post-filters.
 
-Questions are a DataFrame and a batch of them is one plan. Word and sparse scores come from equi-joins
-on terms, so only matching rows meet. Dense scores are exact: the questions, a stated query set, go to
+Questions are a DataFrame and a batch of them is one plan. Sparse scores come from an equi-join on
+terms, so only matching rows meet. For words the texts are packed into blocks of asked words that every
+task reads past the questions of its own, so what is stored follows the texts and the result, not the
+pairs; a pair costs a few additions. Dense scores are exact: the questions, a stated query set, go to
 every block of vectors in slices of bounded size and NumPy multiplies block by block; each block keeps
 its own top k before anything is shuffled.
 """
@@ -12,15 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellum.functions.text import words
 from vellum.operators.filters import tag_overlap
-from vellum.runtime import broadcast_if_small
+from vellum.runtime import cut, ship
 
 K1, B = 1.2, 0.75
 #: Questions per slice that is sent to the vectors.
 SLICE = 4_096
+#: Full-text search: questions whose words are held at a time, questions of a task, texts of a block,
+#: and weights of words in texts held at a time.
+QUESTIONS, ASKS, TEXTS, CELLS = 65_536, 1_024, 16_384, 1 << 22
 #: Query forms of the adaptive constant (fixed values).
 CONCEPT = r"o que (é|e|eh|significa)|what is|defina|conceito|qual o significado"
 NAMES = r"[A-Z]{2,}|[A-Z][a-z]+\s[A-Z]"
@@ -46,24 +53,176 @@ def search_fts(docs: DataFrame, questions: DataFrame, key: str, text: str, k: in
     """R2: BM25 over ``docs``; ``(query_id, id, score, rank)``.
 
     Any shared word makes a candidate. Statistics cover the whole collection, ``predicate`` limits
-    the candidates. Questions: ``(query_id, text)``; those without words give no rows.
+    the candidates. Questions: ``(query_id, text)``; those without words give no rows. Rows of one key
+    are one text with a length each, of which every one counts; a null key is no candidate.
     """
-    asked = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    n_wanted = wanted.count()
-    # Only words that are asked for leave the scan; lengths and the filter travel with them, being
-    # properties of the row.
+    spark = docs.sparkSession
+    ship(spark)
+    asked = cut(questions.select("query_id", F.explode(terms(F.col("text"))).alias("term")).distinct())
+    n = asked.select("query_id").distinct().count()
+    out = spark.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, id {dict(docs.dtypes)[key]}, score double")
+    for part in range(-(-n // QUESTIONS)):
+        own = asked if n <= QUESTIONS else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUESTIONS))) == part)
+        out = out.unionByName(_fts_slice(docs, own, min(n, QUESTIONS), key, text, k, predicate))
+    return rank(out, k)
+
+
+def _fts_slice(docs: DataFrame, asked: DataFrame, n: int, key: str, text: str, k: int, predicate: Column | None) -> DataFrame:
+    """``(query_id, id, score)``: the first ``k`` of about ``n`` questions ``(query_id, term)``.
+
+    A pair of question and text is never a row: the asked words of the texts are packed into blocks,
+    stored once, and every task reads them past the questions of its own."""
+    sc = docs.sparkSession.sparkContext
+    id_kind, q_kind = dict(docs.dtypes)[key], dict(asked.dtypes)["query_id"]
+    vocabulary = sorted(r.term for r in asked.select("term").distinct().collect())
+    held, size = sc.broadcast(vocabulary), len(vocabulary)
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
     ok = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
-    read = docs.select(F.col(key), terms(F.col(text)).alias("ts"), ok.alias("ok"))
-    words_in = read.select(key, "ok", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(broadcast_if_small(wanted, n_wanted), "term", "left_semi")
-    post = words_in.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("ok").alias("ok"))
-    total = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text))).cast("double")).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    few = asked.join(df, "term")
-    hits = post.where("ok").join(broadcast_if_small(few, asked.count()), "term").crossJoin(F.broadcast(total))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rank(hits.groupBy("query_id", F.col(key).alias("id")).agg(F.sum(part).alias("score")), k)
+
+    def ids(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words in the vocabulary, and of each list the words so found and all."""
+        every = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+        at = pc.index_in(lists.flatten(), value_set=vocabulary)
+        row = np.repeat(np.arange(len(every)), every)[at.is_valid().to_numpy(zero_copy_only=False)]
+        return at.drop_null().to_numpy().astype(kind), np.bincount(row, minlength=len(every)), every
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(held.value, pa.string())
+        for b in batches:
+            w, found, every = ids(b["ts"], words)
+            edges = np.concatenate([[0], np.cumsum(found * w.itemsize)]).astype(np.int32)
+            w = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(edges), pa.py_buffer(w.tobytes())])
+            yield pa.RecordBatch.from_arrays([b["id"], b["ok"], pa.array(every), w], ["id", "ok", "dl", "w"])
+
+    def block(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        dl, w = t["dl"].combine_chunks(), t["w"].combine_chunks()
+        rows = pc.list_value_length(w).to_numpy(zero_copy_only=False)
+        w = w.flatten()
+        tokens = np.frombuffer(b"".join(w.to_pylist()), kind).astype(np.int64)
+        doc = np.repeat(np.repeat(np.arange(len(t)), rows), pc.binary_length(w).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize)
+        code, tf = np.unique(doc * size + tokens, return_counts=True)
+        doc, term = np.divmod(code, size)
+        seen, df = np.unique(term, return_counts=True)
+        may = pc.and_(t["ok"], pc.is_valid(t["id"])).combine_chunks()
+        m = may.to_numpy(zero_copy_only=False)
+        keep = m[doc]
+        doc, term, tf = doc[keep], term[keep], tf[keep]
+        # Once for every row of the key, with that row's length.
+        reps = rows[doc]
+        nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        length = dl.flatten().to_numpy()
+        length = length[np.repeat((np.cumsum(rows) - rows)[doc], reps) + nth]
+        x = np.stack([np.repeat(v, reps) for v in ((np.cumsum(m) - 1)[doc], term, tf)] + [length]).astype(np.uint32)
+        stats = pa.StructArray.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df.astype(np.int64))], ["t", "n"])
+        own = t["id"].combine_chunks().filter(may)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (own, stats)]
+        total = int(pc.sum(dl.flatten()).as_py() or 0)
+        return pa.RecordBatch.from_arrays([pa.array([int(rows.sum())]), pa.array([total]), lists[1], lists[0], pa.array([x.shape[1]]), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["n", "total", "df", "ids", "entries", "x"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            rest = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            while len(rest) >= TEXTS:
+                yield block(rest.slice(0, TEXTS))
+                rest = rest.slice(TEXTS)
+        if rest is not None and len(rest):
+            yield block(rest)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got).combine_chunks()
+            w, found, _ = ids(t["ts"].combine_chunks(), pa.array(held.value, pa.string()))
+            q = t["query_id"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(q)], pa.int32()), q), pa.array([found.astype(np.int32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["queries", "counts", "terms"])
+
+    seen = docs.select(F.col(key).alias("id"), ok.alias("ok"), terms(F.col(text)).alias("ts")).mapInArrow(read, f"id {id_kind}, ok boolean, dl int, w binary")
+    seen = seen.groupBy("id").agg(F.max("ok").alias("ok"), F.collect_list("dl").alias("dl"), F.collect_list("w").alias("w"))
+    blocks = cut(seen.mapInArrow(pack, f"n bigint, total bigint, df array<struct<t:int,n:bigint>>, ids array<{id_kind}>, entries bigint, x binary"))
+    tasks = max(sc.defaultParallelism, -(-n // ASKS))
+    asks = cut(asked.groupBy("query_id").agg(F.collect_list("term").alias("ts")).repartition(tasks).mapInArrow(ask, f"queries array<{q_kind}>, counts binary, terms binary"))
+    all_of = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    df = np.zeros(size)
+    for r in blocks.select(F.explode("df").alias("x")).groupBy("x.t").agg(F.sum("x.n").alias("n")).collect():
+        df[r.t] = r.n
+    mean = all_of.total / max(all_of.n, 1)
+    idf = sc.broadcast(np.log(1 + (all_of.n - df + 0.5) / (df + 0.5)))
+    pairs = blocks.select("ids", "entries", "x").coalesce(1).crossJoin(asks.withColumn("task", F.spark_partition_id()).hint("shuffle_replicate_nl"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, _Best] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                task = b["task"][i].as_py()
+                if task not in states:
+                    states[task] = _Best(b["queries"][i].values, np.frombuffer(b["counts"][i].as_py(), np.int32), np.frombuffer(b["terms"][i].as_py(), kind), size, k)
+                x = pa.decompress(b["x"][i].as_py(), decompressed_size=16 * b["entries"][i].as_py(), codec="zstd", asbytes=True)
+                states[task].meet(b["ids"][i].values, np.frombuffer(x, np.uint32).reshape(4, -1).astype(np.int64), idf.value, mean)
+        for s in states.values():
+            yield from s.found()
+
+    return cut(pairs.mapInArrow(meet, f"query_id {q_kind}, id {id_kind}, score double"))
+
+
+class _Best:
+    """The first ``k`` texts of each of some questions, of the blocks met so far."""
+
+    def __init__(self, queries: pa.Array, counts: np.ndarray, terms: np.ndarray, size: int, k: int):
+        self.queries, self.k, self.table = queries.take(pa.array(np.arange(len(queries)))), k, None  # a copy: the batch is let go
+        own, local = np.unique(terms, return_inverse=True)
+        self.rows = np.split(local, np.cumsum(counts)[:-1])
+        self.own, self.place = len(own), np.full(size, -1)
+        self.place[own] = np.arange(len(own))
+        self.bound = np.full(len(counts), np.finfo(np.float64).tiny)  # any shared word gives more
+
+    def meet(self, ids: pa.Array, x: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        col, term, tf, dl = x
+        row = self.place[term]
+        ours = row >= 0
+        col, row = col[ours], row[ours]
+        term, tf, dl = term[ours], tf[ours], dl[ours]
+        part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (mean or 1)))
+        wide = int(np.clip(CELLS // max(self.own, 1), 64, 4_096))
+        out = []
+        for at in range(0, len(ids), wide):
+            a, b = np.searchsorted(col, [at, at + wide])
+            n = min(wide, len(ids) - at)
+            if a == b:
+                continue
+            w = np.bincount(row[a:b] * n + col[a:b] - at, part[a:b], self.own * n).reshape(self.own, n)
+            s = np.empty(n)
+            for q, rows in enumerate(self.rows):
+                if len(rows) == 1:
+                    np.copyto(s, w[rows[0]])
+                else:
+                    np.add(w[rows[0]], w[rows[1]], out=s)
+                    for r in rows[2:]:
+                        s += w[r]
+                c = np.flatnonzero(s >= self.bound[q])
+                if len(c) > 2 * self.k:
+                    v = s[c]
+                    edge = np.partition(v, -self.k)[-self.k] - 1.1e-6  # what may round to as much
+                    c = c[v >= edge]
+                    self.bound[q] = max(self.bound[q], edge)
+                if len(c):
+                    out.append((np.full(len(c), q), at + c, s[c]))
+        if out:
+            q, c, score = (np.concatenate(v) for v in zip(*out))
+            new = pa.table({"q": q, "score": score, "shown": np.floor(score * 1e6 + 0.5), "id": ids.take(pa.array(c))})
+            t = new if self.table is None else pa.concat_tables([self.table, new])
+            t = t.take(pc.sort_indices(t, sort_keys=[("q", "ascending"), ("shown", "descending"), ("id", "ascending")])).combine_chunks()
+            q = t["q"].to_numpy()
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            last = nth == self.k - 1
+            self.bound[q[last]] = np.maximum(self.bound[q[last]], t["shown"].to_numpy()[last] / 1e6 - 0.6e-6)
+            self.table = t.filter(pa.array(nth < self.k))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.table is not None:
+            t = self.table
+            yield from pa.table({"query_id": self.queries.take(t["q"].combine_chunks()), "id": t["id"], "score": t["score"]}).to_batches()
 
 
 def search_dense(vectors: DataFrame, questions: DataFrame, key: str, vector: str, k: int = 20, predicate: Column | None = None) -> DataFrame:

@@ -379,7 +379,7 @@ def test_fts_over_blocks_equals_brute_force(spark, monkeypatch):
         assert got == _fts_brute(rows, asked, 7, may)
 
 
-@pytest.mark.parametrize("name", ["retrieve_filtered_eq", "retrieve_filtered_range", "search_fts_topk", "search_semantic_rrf", "retrieve_filtered_or", "retrieve_filtered_raw", "search_hybrid_rrf"])
+@pytest.mark.parametrize("name", ["retrieve_filtered_eq", "retrieve_filtered_range", "search_fts_topk", "search_semantic_rrf", "retrieve_filtered_or", "retrieve_filtered_raw", "search_hybrid_rrf", "search_weighted"])
 def test_word_search_stores_texts_not_pairs(spark, tmp_path, name):
     """Eight hundred questions share words with all of four thousand texts: even filtered, the pairs would be 800,000 rows."""
     from vellum.catalog.search import QUERIES

@@ -398,6 +398,7 @@ def test_word_search_stores_texts_not_pairs(spark, tmp_path, name):
 
 def _shuffled(spark):
     """Records written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     store = spark.sparkContext._jsc.sc().statusStore()
     stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))

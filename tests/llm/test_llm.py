@@ -327,6 +327,31 @@ def test_cluster_of_a_third_is_searched_whole(spark, monkeypatch, noise, least):
     assert got == {(f"c{i:04d}", n + 1, f"c{j:04d}") for i in range(len(v)) for n, j in enumerate(order[i]) if s[i, j] >= max(least, -2)}
 
 
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("cluster", [0, 400])
+def test_floor_rules_out_pairs_before_the_whole_product(monkeypatch, same, cluster):
+    """Near pairs, some whose first values say nothing, equal brute force; only a cluster needs the
+    k-th values of whole products."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x[1000:1060] = x[:60] + 0.3 * rng.normal(size=(60, 64))
+    x[60:70, :40] = 0
+    x[1060:1070] = x[60:70] + 0.1 * rng.normal(size=(10, 64))
+    x[1100 : 1100 + cluster] = x[60] + 0.2 * rng.normal(size=(cluster, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, d = (x, x) if same else (x[:1000], x[1000:])
+    want = np.round(q @ d.T, 12)
+    if same:
+        np.fill_diagonal(want, -3)
+    if not cluster:
+        monkeypatch.setattr(np, "partition", None)
+    r, c, cos = knn.nearest_in(q, d, 5, 0.85, same, np.full(len(q), -3.0))
+    place = np.argsort(-want, axis=1, kind="stable")[:, :5]
+    expected = [(i, j) for i in range(len(q)) for j in place[i] if want[i, j] >= 0.85]
+    assert len(expected) > 40 and list(zip(r, c)) == expected
+    assert np.allclose(cos, [want[p] for p in expected], atol=1e-11)
+
+
 def test_shuffle_follows_the_vectors(spark, monkeypatch):
     """Smaller blocks meet more often, but no vector is written more often."""
     rng = np.random.default_rng(6)
